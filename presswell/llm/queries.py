@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswell.llm import news
+from presswell.llm.hashforest import batch_duplicates
 from presswell.llm.neardup import near_duplicate_groups
+from presswell.sources.tables import read_table
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    batches = read_table(spark, folder, "news_batches").select("batch_no", F.col("article_id").alias("doc"), F.col("content_clean").alias("text"))
+    return batch_duplicates(news.completed_texts(spark, folder).select("doc", "text"), batches, threshold=0.6, width=3)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -14,6 +21,6 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.where("group_id < doc").select("group_id", F.col("doc").alias("article_id"))
 
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
 
 ORACLE: dict[str, str] = {}
