@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from presswell.llm import news
 from presswell.llm.hashforest import batch_duplicates
+from presswell.llm.leaks import leaks
 from presswell.llm.neardup import near_duplicate_groups
+from presswell.llm.oracle import ORACLE
+from presswell.llm.quality import text_quality
 from presswell.sources.tables import read_table
 
 
@@ -21,6 +24,62 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.where("group_id < doc").select("group_id", F.col("doc").alias("article_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality(news.completed_texts(spark, folder), read_table(spark, folder, "common_words"))
 
-ORACLE: dict[str, str] = {}
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder).where("not_prose").select(F.col("doc").alias("article_id"))
+
+
+def p6_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """All statistics of every COMPLETED article beside the stored word and sentence counts."""
+    return _quality(spark, folder).withColumnRenamed("doc", "article_id")
+
+
+def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain counts, by built-in expressions only, beside the stored ones."""
+    common = read_table(spark, folder, "common_words").select(F.lower("word").alias("w")).distinct()
+    words = F.broadcast(common.agg(F.collect_list("w").alias("list")))  # function words of a language
+    text = F.coalesce("text", F.lit(""))
+    rows = news.completed_texts(spark, folder).withColumn("t", F.array_remove(F.split(text, r"[ \n\r\t]+"), "")).crossJoin(words)
+    return rows.select(
+        F.col("doc").alias("article_id"), F.size("t").alias("words"), F.char_length(text).alias("chars"),
+        F.size(F.filter("t", lambda x: F.array_contains(F.col("list"), F.lower(x)))).alias("common_words"),
+        "article_length_words", "sentence_count",
+        (F.col("article_length_words") != F.size("t")).alias("words_differ"),
+    )
+
+
+def _leaks(spark: SparkSession, folder: str, spread: int = 0) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    items = read_table(spark, folder, "eval_items").select(F.col("item_id").alias("item"), "passage")
+    return leaks(docs, items, spread=spread)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).where("longest >= needed").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p8_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it and the longest run found."""
+    found = _leaks(spark, folder).where("longest >= needed")
+    return found.groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.max("longest").alias("longest_run"))
+
+
+def p8_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Proximity matches: rarest terms up to two words off their places; with the longest exact run."""
+    found = _leaks(spark, folder, spread=2)
+    return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("longest").alias("longest_run"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p6_found": p6_found,
+    "p6_stats": p6_stats,
+    "p6_counts": p6_counts,
+    "p8_found": p8_found,
+    "p8_items": p8_items,
+    "p8_near": p8_near,
+}
