@@ -33,4 +33,24 @@ SELECT article_id, CAST(len(t) AS INTEGER) AS words, CAST(length(coalesce(conten
 FROM t
 """,
     "p8_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (size, run)",
+    "p5_found": _SCRAPED
+    + """, d AS (
+  SELECT id, nullif(regexp_replace(lower(regexp_extract(link, '^\\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:\\s]+)', 1)), '^(www|m)\\.', ''), '') AS site, content FROM cur),
+t AS (SELECT site, count(*) AS docs FROM d WHERE site IS NOT NULL GROUP BY site),
+p AS (SELECT id, site, unnest(string_split(content, chr(10))) AS line, unnest(generate_series(1, len(string_split(content, chr(10))))) AS line_no
+      FROM d WHERE site IS NOT NULL AND content IS NOT NULL),
+n AS (SELECT id, site, CAST(line_no AS INTEGER) AS line_no,
+        regexp_replace(trim(regexp_replace(lower(line), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '[0-9]+', '0', 'g') AS k FROM p),
+f AS (SELECT site, k, count(DISTINCT id) AS df FROM n WHERE k <> '' GROUP BY site, k)
+SELECT DISTINCT id, line_no FROM n JOIN f USING (site, k) JOIN t USING (site) WHERE df >= 5 AND df >= round(0.03 * docs, 9)
+""",
+    "p9_found": """
+WITH s AS (SELECT source, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> ''))) AS BIGINT) AS size FROM documents GROUP BY source)
+SELECT DISTINCT m.source FROM mix_targets m LEFT JOIN s USING (source)
+WHERE m.source IS NOT NULL AND coalesce(s.size, 0) * m.max_repeats < m.target_share * (SELECT sum(size) FROM s)
+""",
+    "p9_sizes": """
+SELECT source, count(*) AS documents, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> ''))) AS BIGINT) AS size
+FROM documents GROUP BY source
+""",
 }

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.llm import news
+from presswell.llm import lines, mixing, news, truncation
 from presswell.llm.hashforest import batch_duplicates
 from presswell.llm.leaks import leaks
 from presswell.llm.neardup import near_duplicate_groups
 from presswell.llm.oracle import ORACLE
 from presswell.llm.quality import text_quality
+from presswell.session import materialize
 from presswell.sources.tables import read_table
 
+#: Where the box keeps public tokenizers; a parameter of the queries that use one.
+TOKENIZER = os.environ.get("PRESSWELL_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     batches = read_table(spark, folder, "news_batches").select("batch_no", F.col("article_id").alias("doc"), F.col("content_clean").alias("text"))
@@ -24,6 +30,36 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.where("group_id < doc").select("group_id", F.col("doc").alias("article_id"))
 
 
+def _repeated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = news.current_scraped(spark, folder, "content", "link")
+    docs = rows.select(F.col("id").alias("doc"), lines.site_of(F.col("link")).alias("site"), F.col("content").alias("text"))
+    return docs, *lines.repeated_lines(docs)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, places, _ = _repeated(spark, folder)
+    return places.where("line_docs >= needed").select(F.col("doc").alias("id"), "line_no")
+
+
+def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of near-duplicate lines of one site that stand in many of its articles."""
+    return _repeated(spark, folder)[2]
+
+
+def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Current articles without the repeated lines of their site."""
+    docs, places, _ = _repeated(spark, folder)
+    return lines.without_lines(docs, places).withColumnRenamed("doc", "id")
+
+
+def p5_remains(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in the COMPLETED articles' ``content_clean``, by the site of the article's current link."""
+    links = news.current_scraped(spark, folder, "link").select(F.col("id").alias("doc"), lines.site_of(F.col("link")).alias("site"))
+    docs = news.completed_texts(spark, folder).select("doc", "text").join(links, "doc", "left")
+    places, _ = lines.repeated_lines(docs)
+    return places.where("line_docs >= needed").select(F.col("doc").alias("article_id"), "line_no")
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return text_quality(news.completed_texts(spark, folder), read_table(spark, folder, "common_words"))
 
@@ -73,13 +109,64 @@ def p8_near(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("longest").alias("longest_run"))
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "source", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    per_source, _ = mixing.plan_mixture(mixing.whitespace_sizes(_documents(spark, folder)), read_table(spark, folder, "mix_targets"))
+    return per_source.where("short").select("source")
+
+
+def _mixture(spark: SparkSession, folder: str, tokenizer: str) -> tuple[DataFrame, DataFrame]:
+    sizes = materialize(mixing.tokenizer_sizes(_documents(spark, folder), tokenizer), "sizes")
+    per_source, per_length = mixing.plan_mixture(sizes, read_table(spark, folder, "mix_targets"))
+    return per_source, mixing.select_mixture(sizes, per_source, per_length)
+
+
+def p9_mixture(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The documents of the mixture, in tokens of a public tokenizer, and how often each is taken."""
+    return _mixture(spark, folder, tokenizer)[1].withColumnRenamed("doc", "doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """The shares reached by that mixture."""
+    per_source, selected = _mixture(spark, folder, tokenizer)
+    return mixing.mixture_report(selected, per_source)
+
+
+def p9_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each source's documents and size in pieces between white space."""
+    sizes = mixing.whitespace_sizes(_documents(spark, folder))
+    return sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("size"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.truncation(_documents(spark, folder)).where("cut").select(F.col("doc").alias("doc_id"))
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each source's documents are cut, and at which length most often."""
+    return truncation.truncation_rates(truncation.truncation(_documents(spark, folder)))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
+    "p5_cleaned": p5_cleaned,
+    "p5_remains": p5_remains,
     "p6_found": p6_found,
     "p6_stats": p6_stats,
     "p6_counts": p6_counts,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p8_near": p8_near,
+    "p9_found": p9_found,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p9_sizes": p9_sizes,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
 }
