@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.llm import lines, mixing, news, truncation
+from presswell.llm import encoding, lines, mixing, news, truncation
 from presswell.llm.hashforest import batch_duplicates
 from presswell.llm.leaks import leaks
 from presswell.llm.neardup import near_duplicate_groups
@@ -87,6 +87,21 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialize(news.current_scraped(spark, folder, "title", "content"), "current")
+    fields = [rows.select("id", F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("title", "content")]
+    return encoding.garbled(fields[0].unionByName(fields[1]))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _garbled(spark, folder).select("id", "field_name")
+
+
+def p7_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled fields with their text as far as it can be restored."""
+    return _garbled(spark, folder).select("id", "field_name", "restored", "made", "lost")
+
+
 def _leaks(spark: SparkSession, folder: str, spread: int = 0) -> DataFrame:
     docs = read_table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
     items = read_table(spark, folder, "eval_items").select(F.col("item_id").alias("item"), "passage")
@@ -160,6 +175,8 @@ QUERIES = {
     "p6_found": p6_found,
     "p6_stats": p6_stats,
     "p6_counts": p6_counts,
+    "p7_found": p7_found,
+    "p7_restored": p7_restored,
     "p8_found": p8_found,
     "p8_items": p8_items,
     "p8_near": p8_near,
