@@ -1,27 +1,34 @@
 """Problem 5: lines repeated across one site's documents.
 
-Lines are masked (numbers, dates and names become one mark each), counted per
-site before anything else is done with them, and clustered within their site
-by locality-sensitive hashing of word shingles: lines that agree on a band of
-min-hashes meet in a bucket. Buckets whose lines stand in few documents are
-dropped; what remains are clusters of near-duplicate lines with a high
-document frequency. An exact count of each line within the clusters may follow.
+Lines are masked (numbers, dates and names become one mark each) and clustered
+within their site by locality-sensitive hashing of word shingles: lines that
+agree on a band of min-hashes meet in a bucket. Buckets are counted, partly
+before the shuffle, and those of few documents dropped; what remains are
+clusters of near-duplicate lines with a high document frequency. Only their
+lines are counted one by one, exactly.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswell.llm.components import connected_components
-from presswell.llm.shingles import hash_words, mix
+from presswell.llm.hashforest import _small
+from presswell.llm.neardup import chunks
+from presswell.llm.shingles import mix
 from presswell.session import materialize
 
-WIDTH, BANDS, ROWS = 5, 4, 4
+#: Bands of masked lines, then bands of lines whose names are left as they are, in
+#: lower case: those see lines apart from case alike, which masking names doesn't.
+WIDTH, MASKED, PLAIN, ROWS = 5, 3, 2, 3
+BANDS = MASKED + PLAIN
 _U = np.uint64
 
 
@@ -37,55 +44,93 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(spaced, r"[0-9]+", "0")
 
 
-def masked_line(line: Column) -> Column:
-    """The line with links, dates, numbers and names each turned to a mark, in lower case.
+_LINK = re.compile(r"://|^www\.|@|\.(?:example|com|org|net|lk)\b")
+#: What a token is masked to.
+_NUMBER_MARK, _NAME_MARK, _LINK_MARK, _END = (xxhash.xxh3_64_intdigest(x) for x in ("<0>", "<name>", "<link>", "<end>"))
 
-    A name is a capitalised word that does not begin the line or follow the
-    end of a sentence, or a run of such words. Lines that ``normal_line``
-    makes equal may still differ here by the case of letters, so a line is
-    masked after its variants were made one.
+
+def masked_tokens(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line number, hash, hash with names kept) of the masked tokens of each line.
+
+    A token with a digit is a number (dates, times, scores), a link or address
+    a link; a capitalised word that doesn't begin the line or a sentence is a
+    name, and a run of names is one. Other tokens count in lower case, without
+    the punctuation around them. The last value keeps every name and the
+    first has a mark only at the first of a run (0 at the others).
     """
-    out = F.regexp_replace(line, r"(?i)\b(?:https?://|www\.)\S+", " <link> ")
-    out = F.regexp_replace(out, r"(?i)\b[0-9]{0,2}\s*(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s*[0-9]{2,4}\b", " <date> ")
-    out = F.regexp_replace(out, r"(?<=[a-z0-9,:|)\-–—]\s{1,3})\p{Lu}[\p{L}’'-]*(?:\s+\p{Lu}[\p{L}’'-]*)*", "<name>")
-    out = F.regexp_replace(out, r"[0-9]+(?:[.,:/][0-9]+)*", "0")
-    return F.trim(F.regexp_replace(F.lower(out), r"\s+", " "))
+    lists = [x.split() for x in lines]
+    count = np.array([len(x) for x in lists], dtype=np.int64)
+    codes, unique = pd.factorize(np.array([w for x in lists for w in x], dtype=object))
+    word, mask, kind = np.empty((3, len(unique)), dtype=np.uint64)
+    for i, w in enumerate(unique):
+        core = w.strip(".,;:!?\"'“”‘’()[]|–—-") or w
+        low = xxhash.xxh3_64_intdigest(core.lower())
+        if _LINK.search(w):
+            low = made = _LINK_MARK
+        elif any(c.isdigit() for c in w):
+            low = made = _NUMBER_MARK
+        else:
+            made = _NAME_MARK if core[:1].isupper() and not (len(core) > 1 and core.isupper()) else low
+        word[i], mask[i], kind[i] = low, made, 1 if w[-1:] in ".!?" else 0
+    line = np.repeat(np.arange(len(lists)), count)
+    begins = np.ones(len(line), dtype=bool)
+    begins[1:] = (line[1:] != line[:-1]) | (kind[codes[:-1]] == 1)
+    h = np.where(begins, word[codes], mask[codes])
+    name = h == _U(_NAME_MARK)
+    again = np.zeros(len(line), dtype=bool)
+    again[1:] = name[1:] & name[:-1] & (line[1:] == line[:-1])
+    return line, np.where(again, _U(0), h), word[codes]
+
+
+def _band_hashes(line: np.ndarray, h: np.ndarray, lines: int, bands: int, seed: int) -> np.ndarray:
+    """Min-hashes of the token shingles of each line, joined to bands; short lines are filled up to one shingle."""
+    lacking = np.maximum(0, WIDTH - np.bincount(line, minlength=lines))
+    line = np.concatenate((line, np.repeat(np.arange(lines), lacking)))
+    h = np.concatenate((h, np.full(lacking.sum(), _END, dtype=np.uint64)))
+    order = np.argsort(line, kind="stable")
+    line, h = line[order], h[order]
+    n = len(h) - WIDTH + 1
+    rolled = np.full(n, WIDTH, dtype=np.uint64)
+    for k in range(WIDTH):
+        rolled = mix(rolled ^ h[k : k + n]) + _U(0x9E3779B97F4A7C15)
+    inner = line[:n] == line[WIDTH - 1 :]
+    rolled, line = rolled[inner], line[:n][inner]
+    starts = np.searchsorted(line, np.arange(lines))
+    seeds = mix(np.arange(seed, seed + 2 * bands * ROWS, dtype=np.uint64))
+    out = np.zeros((lines, bands), dtype=np.uint64)
+    for b in range(bands):
+        for r in range(ROWS):
+            a, c = seeds[2 * (b * ROWS + r)] | _U(1), seeds[2 * (b * ROWS + r) + 1]
+            least = np.minimum.reduceat((rolled * a + c) ^ (rolled >> _U(29)), starts)
+            out[:, b] = mix(out[:, b] ^ least) + _U(b + 1)
+    return out
+
+
+def bands_of(lines: list[str]) -> np.ndarray:
+    """(lines, BANDS) 32-bit hashes; equal ones of a band mean agreement on ROWS min-hashes."""
+    line, masked, plain = masked_tokens(lines)
+    kept = masked != 0
+    out = np.hstack((_band_hashes(line[kept], masked[kept], len(lines), MASKED, 1), _band_hashes(line, plain, len(lines), PLAIN, 1000)))
+    return (out >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def line_places(docs: DataFrame) -> DataFrame:
-    """(doc, site, line_no, line, key) of every non-empty line; key is a hash of the normal form.
+    """(doc, site, line_no, line, key, bands) of every non-empty line; key is a hash of the normal form.
 
     ``docs`` has doc, site and text. Lines count from 1 over all lines of the
     text split at ``\\n``, the empty ones too.
     """
     split = docs.where("text is not null").select("doc", "site", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     out = split.withColumn("normal", normal_line(F.col("line"))).where("normal <> ''")
-    return out.select("doc", "site", (F.col("at") + 1).alias("line_no"), "line", F.xxhash64("normal").alias("key"))
+    out = out.select("doc", "site", (F.col("at") + 1).alias("line_no"), "line", F.xxhash64("normal").alias("key"))
+    schema = "doc long, site string, line_no int, line string, key long, " + ", ".join(f"band{b} int" for b in range(BANDS))
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in chunks(frames, "line"):
+            found = bands_of(frame["line"].tolist())
+            yield frame.assign(**{f"band{b}": found[:, b] for b in range(BANDS)})
 
-def band_keys(masked: pd.Series) -> np.ndarray:
-    """(lines, BANDS) hashes; equal rows of a band mean agreement on ROWS min-hashes."""
-    lists = [m.split() for m in masked]
-    padded = [x if len(x) >= WIDTH else [*x, *["<end>"] * (WIDTH - len(x))] for x in lists]
-    counts = np.array([len(x) for x in padded], dtype=np.int64)
-    flat = [w for x in padded for w in x]
-    h = hash_words(flat)
-    doc = np.repeat(np.arange(len(padded)), counts)
-    n = len(h) - WIDTH + 1
-    rolled = np.full(n, WIDTH, dtype=np.uint64)
-    for k in range(WIDTH):
-        rolled = mix(rolled ^ h[k : k + n]) + _U(0x9E3779B97F4A7C15)
-    inner = doc[:n] == doc[WIDTH - 1 :]
-    rolled, doc = rolled[inner], doc[:n][inner]
-    starts = np.searchsorted(doc, np.arange(len(padded)))
-    seeds = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
-    out = np.zeros((len(padded), BANDS), dtype=np.uint64)
-    for b in range(BANDS):
-        for r in range(ROWS):
-            a, c = seeds[2 * (b * ROWS + r)] | _U(1), seeds[2 * (b * ROWS + r) + 1]
-            least = np.minimum.reduceat((rolled * a + c) ^ (rolled >> _U(29)), starts)
-            out[:, b] = mix(out[:, b] ^ least) + _U(b + 1)
-    return out.view(np.int64)
+    return out.mapInPandas(run, schema)
 
 
 def repeated_lines(docs: DataFrame, least_docs: int = 5, least_share: float = 0.03) -> tuple[DataFrame, DataFrame]:
@@ -96,43 +141,37 @@ def repeated_lines(docs: DataFrame, least_docs: int = 5, least_share: float = 0.
     every line of a frequent cluster. Its line itself is found in
     ``line_docs`` documents of the site, and ``needed`` is the number that
     makes a repeated line: ``least_docs`` and ``least_share`` of the site's
-    documents. ``clusters`` (site, cluster, lines, cluster_docs, example).
-    Documents without a site (NULL) are left out; NULL and empty texts count
-    as documents of their site but have no lines. A line counts once per
-    document, however often it stands there.
+    documents. ``clusters`` (site, cluster, lines, cluster_docs, line_docs,
+    needed). Documents without a site (NULL) are left out; NULL and empty
+    texts count as documents of their site but have no lines. A line counts
+    once per document, however often it stands there.
     """
     sited = docs.where("site is not null").select("doc", "site", "text")
-    # the same text in many documents counts in all of them; each row is one document
     places = materialize(line_places(sited), "lines")
-    totals = sited.groupBy("site").agg(F.count("*").alias("docs"))
-    needed = F.greatest(F.lit(least_docs), F.ceil(F.round(F.col("docs") * least_share, 9))).cast("long")
-    totals = totals.select("site", needed.alias("needed"))
-    # one row per document and line, then per site and line: partial counts come before the shuffle
-    per_doc = places.groupBy("site", "key", "doc").agg(F.min("line").alias("line"))
-    per_line = per_doc.groupBy("site", "key").agg(F.count("*").alias("line_docs"), F.min("line").alias("line"))
-    per_line = materialize(per_line.withColumn("masked", masked_line(F.col("line"))), "site-lines")
-
-    def bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys = band_keys(frame["masked"])
-            for b in range(BANDS):
-                yield pd.DataFrame({"site": frame["site"], "key": frame["key"], "line_docs": frame["line_docs"], "band": keys[:, b]})
-
-    hashed = per_line.select("site", "key", "line_docs", "masked").mapInPandas(bands, "site string, key long, line_docs long, band long")
-    # documents with two lines of one bucket count twice here, so no frequent cluster is lost
-    buckets = hashed.groupBy("site", "band").agg(F.sum("line_docs").alias("bucket_docs"), F.min("key").alias("head"))
-    frequent = buckets.join(totals, "site").where("bucket_docs >= needed").select("site", "band", "head")
-    members = materialize(hashed.join(frequent, ["site", "band"]).select("site", "key", "head").distinct(), "members")
+    needed = F.greatest(F.lit(least_docs), F.ceil(F.round(F.count("*") * least_share, 9))).cast("long")
+    totals = materialize(sited.groupBy("site").agg(needed.alias("needed")), "sites")
+
+    # a document with two lines of one bucket counts twice here, so no frequent cluster is lost
+    one = F.stack(F.lit(BANDS), *(x for b in range(BANDS) for x in (F.lit(b), F.col(f"band{b}")))).alias("at", "band")
+    hashed = places.select("site", "key", one).select("site", "key", F.xxhash64("site", "at", "band").alias("bucket"))
+    buckets = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("head")).where(F.col("n") >= least_docs)
+    buckets = materialize(buckets, "buckets")
+    members = hashed.join(_small(buckets), "bucket").groupBy("site", "key", "head").agg(F.max("n").alias("n"))
+    members = materialize(members.join(totals, "site").where("n >= needed").select("site", "key", "head"), "members")
     node = lambda c: F.xxhash64("site", c)
     labels = connected_components(members.select(node("key").alias("a"), node("head").alias("b")))
-    clustered = members.select("site", "key").distinct().withColumn("node", node("key")).join(labels, "node", "left")
-    clustered = clustered.select("site", "key", F.coalesce("component", "node").alias("cluster"))
-    clustered = materialize(clustered.join(per_line.select("site", "key", "line_docs", "line"), ["site", "key"]).join(totals, "site"), "clusters")
-    found = places.join(clustered.select("site", "key", "cluster", "line_docs", "needed"), ["site", "key"])
-    summary = clustered.groupBy("site", "cluster").agg(
-        F.count("*").alias("lines"), F.sum("line_docs").alias("cluster_docs"), F.max("line_docs").alias("line_docs"),
-        F.max("needed").alias("needed"), F.max_by("line", F.struct("line_docs", "line")).alias("example"),
-    )
+    keys = members.select("site", "key").distinct().withColumn("node", node("key")).join(labels, "node", "left")
+    keys = materialize(keys.select("site", "key", F.coalesce("component", "node").alias("cluster")), "keys")
+
+    # the exact count of each line of the clusters
+    inside = places.join(_small(keys), ["site", "key"])
+    per_doc = inside.groupBy("site", "key", "cluster", "doc").agg(F.count("*").alias("times"))
+    counted = per_doc.groupBy("site", "key", "cluster").agg(F.count("*").alias("line_docs"))
+    counted = materialize(counted.join(totals, "site"), "counted")
+    found = places.join(_small(counted), ["site", "key"])
+    summary = counted.groupBy("site", "cluster").agg(
+        F.count("*").alias("lines"), F.sum("line_docs").alias("cluster_docs"), F.max("line_docs").alias("line_docs"), F.max("needed").alias("needed")
+    )
     return found, summary
 
 
