@@ -37,8 +37,9 @@ from presswell.llm.components import connected_components
 from presswell.llm.shingles import mix, shingle_batch, similarity
 from presswell.session import materialize
 
-#: (least size of the larger text, classes m); m + 1 <= 0.6 * least size.
-TIERS = ((72, 40), (24, 12), (8, 3))
+#: (least size of the larger text, classes m), largest first; the classes grow with
+#: the texts, so that a text of n shingles has about n keys however long it is.
+TIERS = tuple((72 * 9**k, 40 * 9**k) for k in range(8, -1, -1)) + ((24, 12), (8, 3))
 BITMAP = 8  # 64-bit words
 _U = np.uint64
 _CHARS = 4_000_000
@@ -190,6 +191,7 @@ def prefix_keys(offsets: np.ndarray, tokens: np.ndarray, level: np.ndarray, whol
     np.logical_or.at(combine, doc[first & frequent], True)
     largest = np.iinfo(np.int64).max
     for least, classes in TIERS:
+        classes = max(1, min(classes, int(threshold * least) - 1))  # so many pairs can't share m + 1 else
         mine = combine & (n > threshold * least - 1e-9) & (n <= largest)
         largest = least - 1
         if not mine.any():

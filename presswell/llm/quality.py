@@ -218,9 +218,9 @@ LEAST_PROSE = 0.4
 
 
 def text_quality(texts: DataFrame, common: DataFrame) -> DataFrame:
-    """``texts`` (doc, text, ..) with the statistics of STATS and ``not_prose``.
+    """(doc, statistics of STATS, extra, not_prose) of every row of ``texts`` (doc, text, ..).
 
-    Extra columns are kept as they are. Text that is NULL or blank has zeros
+    Other columns, whatever their names, come back in the struct ``extra``. Text that is NULL or blank has zeros
     everywhere and ``not_prose`` false: there is nothing in it. ``common`` has
     the column ``word``; its size is that of a language's function words and
     is checked (at most 5,000).
@@ -231,26 +231,20 @@ def text_quality(texts: DataFrame, common: DataFrame) -> DataFrame:
     table = {w: i for i, w in enumerate(sorted(found))}
     costs = texts.sparkSession.sparkContext.broadcast(bigram_costs(texts, table))
 
+    extra = [c for c in texts.columns if c not in ("doc", "text")]
+    packed = F.to_json(F.struct(*extra), {"ignoreNullFields": "false"}) if extra else F.lit(None).cast("string")
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(frames, "text"):
             out = measure(list(frame["text"].where(frame["text"].notna(), None)), table, costs.value)
             out.insert(0, "doc", frame["doc"].to_numpy())
+            out["extra"] = frame["extra"].to_numpy()
             yield out
 
-    extra = [c for c in texts.columns if c not in ("doc", "text")]
+    rows = texts.select("doc", "text", packed.alias("extra")).mapInPandas(run, f"doc long, {STATS}, extra string")
     if extra:
-        packed = texts.select("doc", "text", F.to_json(F.struct(*extra)).alias("extra"))
-        schema = texts.select(F.struct(*extra).alias("extra")).schema["extra"].dataType
-
-        def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in chunks(frames, "text"):
-                out = measure(list(frame["text"].where(frame["text"].notna(), None)), table, costs.value)
-                out.insert(0, "doc", frame["doc"].to_numpy())
-                out["extra"] = frame["extra"].to_numpy()
-                yield out
-
-        rows = packed.mapInPandas(keep, f"doc long, {STATS}, extra string")
-        rows = rows.withColumn("extra", F.from_json("extra", schema)).select("*", "extra.*").drop("extra")
+        kind = texts.select(F.struct(*extra).alias("extra")).schema["extra"].dataType
+        rows = rows.withColumn("extra", F.from_json("extra", kind))
     else:
-        rows = texts.select("doc", "text").mapInPandas(run, f"doc long, {STATS}")
+        rows = rows.drop("extra")
     return rows.withColumn("not_prose", (F.col("words") > 0) & (F.col("prose_share") < LEAST_PROSE))

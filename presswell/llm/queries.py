@@ -70,7 +70,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_stats(spark: SparkSession, folder: str) -> DataFrame:
     """All statistics of every COMPLETED article beside the stored word and sentence counts."""
-    return _quality(spark, folder).withColumnRenamed("doc", "article_id")
+    return _quality(spark, folder).withColumnRenamed("doc", "article_id").select("*", "extra.*").drop("extra")
 
 
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:

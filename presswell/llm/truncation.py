@@ -48,10 +48,15 @@ CLOSING = re.compile(
     re.IGNORECASE | re.VERBOSE,
 )
 #: A row of a small table: three cells or more, divided by wide gaps or bars.
-ROW = re.compile(r"^\s*\S+(?: \S+)*(?:(?:\s{2,}|\t+|\s*\|\s*)\S+(?: \S+)*){2,}\s*$")
+ROW = re.compile(r"^\s*[^\s|]+(?: [^\s|]+)*(?:(?:\s{2,}|\t|\s*\|\s*)[^\s|]+(?: [^\s|]+)*){2,}\s*$")
 #: Letter signatures and address lines: a name or place of one to three words.
 NAME = re.compile(r"^[A-ZÀ-ÞŁ][\w’'-]*(?: [A-ZÀ-ÞŁ][\w’'-]*){0,2},?$")
 SHORT = 100
+TAIL = 300
+
+
+def _row(line: str) -> bool:
+    return len(line) <= TAIL and bool(ROW.match(line))
 
 
 def running_text(text: str | None) -> tuple[str, str, bool]:
@@ -68,10 +73,10 @@ def running_text(text: str | None) -> tuple[str, str, bool]:
         before = lines[-2].strip() if len(lines) > 1 else ""
         if not last or (len(lines) > 1 and CLOSING.match(last) and len(last) <= SHORT):
             lines.pop()
-        elif ROW.match(lines[-1]) and len(lines) > 1:
-            while lines and (ROW.match(lines[-1]) or not lines[-1].strip()):
+        elif _row(lines[-1]) and len(lines) > 1:
+            while lines and (_row(lines[-1]) or not lines[-1].strip()):
                 lines.pop()
-            if len(lines) > 1 and len(lines[-1].split()) <= 4 and not END.search(lines[-1].strip()):
+            if len(lines) > 1 and len(lines[-1].split()) <= 4 and not END.search(lines[-1].strip()[-TAIL:]):
                 lines.pop()  # the table's heading
         elif NAME.match(last) and NAME.match(before) and len(lines) > 2:
             while lines and NAME.match(lines[-1].strip()):
@@ -81,16 +86,17 @@ def running_text(text: str | None) -> tuple[str, str, bool]:
     body = "\n".join(lines).rstrip()
     if not body:
         return "", "none", False
-    found = MARK.search(body)
+    ahead = max(0, len(body) - TAIL)  # marks and ends are short: a long text is not searched whole
+    found = MARK.search(body[ahead:])
     if found:
-        stop = body[: found.start()].rstrip()
+        stop = body[: ahead + found.start()].rstrip()
         if stop:
             # an ellipsis may close a complete sentence: "... today. …" was cut between sentences
-            whole = END.search(stop) and not found.group().startswith("...") and "�" not in found.group()
+            whole = END.search(stop[-TAIL:]) and not found.group().startswith("...") and "�" not in found.group()
             return stop, "sentence" if whole else "open", True
         return "", "none", False
     last = body.rsplit("\n", 1)[-1].strip()
-    if END.search(body):
+    if END.search(body[-TAIL:]):
         return body, "sentence", False
     if total == 1 and len(body) < SHORT:
         return body, "none", False
