@@ -20,7 +20,7 @@ reads those. A retry under the same token overwrites the same folder.
 from __future__ import annotations
 
 import uuid
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +40,16 @@ SCHEMA = T.StructType(
 )
 
 
+def utc_now() -> datetime:
+    return datetime.now(UTC).replace(tzinfo=None)
+
+
 class StaleLease(RuntimeError):
     """The lease's items now belong to a newer lease, or are done."""
 
 
 class WorkLedger:
-    def __init__(self, spark: SparkSession, path: str, clock=datetime.utcnow, compact_every: int = 64):
+    def __init__(self, spark: SparkSession, path: str, clock=utc_now, compact_every: int = 64):
         self.spark, self.path, self.clock, self.compact_every = spark, path.rstrip("/"), clock, compact_every
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswell.operators.current import fingerprint, newest_values
-from presswell.operators.ledger import StaleLease, WorkLedger
+from presswell.operators.ledger import StaleLease, WorkLedger, utc_now
 from presswell.session import scratch_path
 from presswell.sources.tables import read_table
 
@@ -27,7 +27,7 @@ def finished_versions(processed: DataFrame) -> DataFrame:
     return newest.where("processing_status = 'COMPLETED'").select(F.col("article_id").alias("item_id"), "version")
 
 
-def opened(spark: SparkSession, folder: str, clock=datetime.utcnow) -> WorkLedger:
+def opened(spark: SparkSession, folder: str, clock=utc_now) -> WorkLedger:
     """A fresh ledger that has taken up everything the tables leave open."""
     ledger = WorkLedger(spark, scratch_path(spark, "ledger"), clock=clock)
     ledger.sync(source_versions(read_table(spark, folder, "scraped_news")), finished_versions(read_table(spark, folder, "processed_news")))
