@@ -98,10 +98,10 @@ def running_text(text: str | None) -> tuple[str, str, bool]:
     last = body.rsplit("\n", 1)[-1].strip()
     if END.search(body[-TAIL:]):
         return body, "sentence", False
-    if total == 1 and len(body) < SHORT:
+    within = re.search(r"[.!?।]['\"”’)]*\s", last)
+    if total == 1 and len(body) < SHORT and not within:
         return body, "none", False
-    words = len(last.split())
-    if words > 40 and not re.search(r"[.!?।]['\"”’)]*\s", last):
+    if not within and len(last.split()) > 40:
         return body, "bare", False
     return body, "open", False
 
