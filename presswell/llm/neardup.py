@@ -266,10 +266,9 @@ def _buckets(postings: DataFrame, threshold: float, small: int) -> DataFrame:
             live = np.repeat(size, size)[:end]
             group = np.repeat(start, size)[:end]
             k, d, m = key[:end], doc[:end], n[:end]
-            known = np.array([int(x) in head for x in k[:1]]).any() and int(k[0]) if len(k) else None
             big = live > small
             lead_doc, lead_n = d[group], m[group]
-            if known is not None and known is not False and int(k[0]) in head:
+            if len(k) and int(k[0]) in head:  # the rest of a bucket that is known to be large
                 again = k == k[0]
                 big = big | again
                 lead_doc = np.where(again, head[int(k[0])][0], lead_doc)

@@ -212,7 +212,7 @@ def measure(texts: list, common: dict[str, int], costs: np.ndarray) -> pd.DataFr
 #: Limits of the block rules: a pattern's occurrences that make a list, the mean
 #: log-odds beyond which class bigrams are out of order, the least share of
 #: function words, the least share of letters among characters.
-LISTED, STRANGE, USUAL, LETTERS = 6, -0.1, 0.1, 0.72
+LISTED, STRANGE, USUAL, LETTERS = 6, 0.1, 0.1, 0.72
 #: A text with less prose than this share of its characters is not prose.
 LEAST_PROSE = 0.4
 

@@ -34,7 +34,6 @@ CLOSING = re.compile(
     | \W*(?:tags?|photos?|pictures?|images?|sources?|credits?|filed|updated|published|posted|written|reported|edited|editing|contact|copyright|more|related|question|answer|by|via|e-?mail|tel|phone)\b[^.!?]{0,20}:.*
     | (?:filed|posted|published)\ (?:under|in|by|on)\b.*
     | (?:last\ )?updated\b.{0,40}
-    | by\ (?:\w[\w’'-]*\ ?){1,4}
     | (?:photo|picture|source|image)s?\ ?(?:by|from|:).{0,80}
     | .{0,60}\|\s*staff\ reporter
     | (?:continue\ reading|read\ (?:more|on|the\ (?:full|rest|whole|complete))|click\ here|tap\ here|subscribe|sign\ (?:in|up)|log\ in|join\ the|follow\ us|share\ this|also\ read|see\ also|advertisement|print\ edition|support\ independent|tip\ the).{0,90}
@@ -42,11 +41,12 @@ CLOSING = re.compile(
     | \S*(?:https?://|www\.)\S+
     | .{0,40}\S+@\S+\.\w+
     | .{0,30}\b[\w-]+\.(?:example|com|org|net|lk)\b\S*
-    | (?:the\ )?end\W*
-    | [-–—\s#*0-9]+
+    | [-–—\s#*_=]+
     )$""",
     re.IGNORECASE | re.VERBOSE,
 )
+#: A byline has two names at least: "By Thursday" is the begin of a sentence.
+BYLINE = re.compile(r"^By [A-ZÀ-ÞŁ][\w’'-]+(?: [A-ZÀ-ÞŁ][\w’'-]+){1,3}$")
 #: A row of a small table: three cells or more, divided by wide gaps or bars.
 ROW = re.compile(r"^\s*[^\s|]+(?: [^\s|]+)*(?:(?:\s{2,}|\t|\s*\|\s*)[^\s|]+(?: [^\s|]+)*){2,}\s*$")
 #: Letter signatures and address lines: a name or place of one to three words.
@@ -71,7 +71,7 @@ def running_text(text: str | None) -> tuple[str, str, bool]:
     while lines:
         last = lines[-1].strip()
         before = lines[-2].strip() if len(lines) > 1 else ""
-        if not last or (len(lines) > 1 and CLOSING.match(last) and len(last) <= SHORT):
+        if not last or (len(lines) > 1 and len(last) <= SHORT and (CLOSING.match(last) or BYLINE.match(last))):
             lines.pop()
         elif _row(lines[-1]) and len(lines) > 1:
             while lines and (_row(lines[-1]) or not lines[-1].strip()):

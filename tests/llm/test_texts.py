@@ -254,7 +254,7 @@ S = "The council met again on Monday to hear the farmers out."
     (S + "\nPhoto: Some Name", "sentence"), (S + "\nSource: https://a.example/x", "sentence"), (S + "\n— Some Name, staff writer", "sentence"), (S + "\nUpdated 17:47 local time", "sentence"),
     (S + "\nTags: a, b, c", "sentence"), (S + "\nFiled under Vondlar, trade", "sentence"), (S + "\nKurgil\nVondlar\n\n", "sentence"), (S + "\nStandings\n1  A  3\n2  B  4", "sentence"),
     (S + " It was not the fi\n© Paper. All rights reserved.", "open"), (S + " It was not the fi\nContinue reading at paper.example", "open"), (S + " It was not the fi\nRead the full story on our site.", "open"),
-    (S + "\n\nThe pa", "open"), (S + "\n\nThe", "open"), (S + " with littl<a href=\"htt", "open"), (S + " of the (contd", "open"), ("Council met farmers", "none"), ("", "none"), (None, "none"), ("  \n ", "none"),
+    (S + "\nBy Thursday", "open"), (S + "\n249 ", "open"), (S + "\nBy Some Name", "sentence"), (S + "\n\nThe pa", "open"), (S + "\n\nThe", "open"), (S + " with littl<a href=\"htt", "open"), (S + " of the (contd", "open"), ("Council met farmers", "none"), ("", "none"), (None, "none"), ("  \n ", "none"),
     ("the council met again and " * 12 + "then", "bare"), ("සිංහල පෙළ ඉවර.", "sentence"),
 ])
 def test_endings(text, kind):
