@@ -178,6 +178,7 @@ b AS (SELECT k, tn, fp, fn, tp, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precis
     classes = """c AS (SELECT 'negative' AS label UNION ALL SELECT 'neutral' UNION ALL SELECT 'positive'),
 x AS (SELECT c.label, count(*) FILTER (truth = c.label AND guess = c.label) AS tp, count(*) FILTER (guess = c.label) AS called, count(*) FILTER (truth = c.label) AS support FROM g, c GROUP BY c.label),
 y AS (SELECT label, coalesce(tp / nullif(called, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall, coalesce(2 * tp / nullif(called + support, 0), 0.0) AS f1, CAST(support AS BIGINT) AS support, tp FROM x)"""
+    population = "p.processing_status = 'COMPLETED' AND p.duplicate_status <> 'EXACT_DUPLICATE' AND p.publication_week IS NOT NULL"
     out = {
         "weekly_base_metrics": f"{panel} SELECT {base_cols} FROM panel",
         "weekly_panel_full": f"{panel} SELECT {panel_cols} FROM panel",
@@ -265,6 +266,14 @@ SELECT e.event_id, e.event_name, first_week AS first_detection_week, CAST(date_d
         "examples_per_source": "SELECT source, doc_id, n_chars, CAST(place AS INTEGER) AS place FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) WHERE place <= 3",
         "fold_label_counts": f"SELECT crisis_event, label_pre_crisis, count(*) AS n FROM {WEEKLY} GROUP BY ALL",
         "sample_for_labelling": f"SELECT article_id FROM {COMPLETED} ORDER BY sha256(article_id || ':42') LIMIT 120",
+        "raw_lookup": "SELECT DISTINCT id, title, date, link FROM scraped_news WHERE id = 7",
+        "panel_scan": f"SELECT series, week, article_count, crisis_event, label_pre_crisis FROM {WEEKLY}",
+        "events_scan": "SELECT event_id, event_name, start_date, end_date FROM crisis_events",
+        "topic_corpus": f"""SELECT article_id, regexp_replace(regexp_replace(coalesce(title_clean, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') || ' ' || regexp_replace(coalesce(content_clean, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM {COMPLETED}""",
+        "ml_weeks": f"SELECT series, week, label_pre_crisis, {', '.join(config.FEATURES)} FROM {WEEKLY} WHERE label_pre_crisis IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in config.FEATURES)}",
+        "entity_dataset": f"SELECT e.article_id, e.entity_type, p.publication_week FROM (SELECT DISTINCT * FROM article_entities) e JOIN {PROCESSED} p ON p.article_id = e.article_id WHERE {population}",
+        "entity_weeks": "SELECT p.publication_week AS week, " + ", ".join(f"CAST(count(*) FILTER (e.entity_type = '{t}') AS INTEGER) AS {c}" for c, t in config.ENTITY_GROUPS.items()) + f" FROM (SELECT DISTINCT * FROM article_entities) e JOIN {PROCESSED} p ON p.article_id = e.article_id WHERE {population} GROUP BY 1",
+        "sentiment_by_topic": f"WITH {_ARTICLES} SELECT topic_name, " + ", ".join(f"count(*) FILTER (sentiment = '{v}') AS {v}" for v in ("negative", "neutral", "positive")) + ", round(avg(CASE sentiment WHEN 'positive' THEN score WHEN 'negative' THEN -score ELSE 0 END), 6) AS average FROM articles GROUP BY topic_name",
         "weekly_event_windows": "SELECT CAST(date_trunc('week', ts) AS DATE) AS week_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     }
     return out

@@ -10,17 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswell.functions import dates, text
+from presswell.config import FEATURES
+from presswell.functions import dates, html, text
 from presswell.functions.scoring import signed_sentiment
 from presswell.operators import enrich, explore, metrics, store, topics
 from presswell.operators.anomaly import anomaly_scores
 from presswell.operators.current import newest_rows
 from presswell.operators.dedup import assign_duplicates, exact_duplicates, greedy_marks, near_pairs, shared_values
 from presswell.operators.events import label_weeks, lead_times
-from presswell.operators.ml import leave_one_event_out
+from presswell.operators.ml import leave_one_event_out, ml_dataset
 from presswell.operators.trends import add_trends
 from presswell.operators.validate import validate
-from presswell.operators.weekly import base_metrics, entity_counts, keyword_counts, weekly_panel
+from presswell.operators.weekly import base_metrics, child_dataset, entity_counts, keyword_counts
 from presswell.plans.news_oracle import oracle
 from presswell.plans.pipeline import cleaned
 from presswell.session import materialize
@@ -374,6 +375,43 @@ def sample_for_labelling(spark, folder):
     return explore.seeded_sample(_completed(spark, folder).select("article_id"), "article_id", 120, 42)
 
 
+def strip_html_parsed(spark, folder):
+    return html.strip_html(_raw(spark, folder), "content")
+
+
+def raw_lookup(spark, folder):
+    return read_table(spark, folder, "scraped_news").where("id = 7").select("id", "title", "date", "link").distinct()
+
+
+def panel_scan(spark, folder):
+    return _weekly(spark, folder).select("series", "week", "article_count", "crisis_event", "label_pre_crisis").orderBy("week", "series")
+
+
+def events_scan(spark, folder):
+    return read_table(spark, folder, "crisis_events").select("event_id", "event_name", "start_date", "end_date")
+
+
+def topic_corpus(spark, folder):
+    return _completed(spark, folder).select("article_id", topics.topic_text("title_clean", "content_clean").alias("text"))
+
+
+def ml_weeks(spark, folder):
+    return ml_dataset(_weekly(spark, folder)).select("series", "week", "label_pre_crisis", *FEATURES)
+
+
+def entity_dataset(spark, folder):
+    return child_dataset(_processed(spark, folder), read_table(spark, folder, "article_entities").distinct(), "entity_type")
+
+
+def entity_weeks(spark, folder):
+    return entity_counts(entity_dataset(spark, folder))
+
+
+def sentiment_by_topic(spark, folder):
+    a = _articles(spark, folder)
+    return a.groupBy("topic_name").agg(*(F.count_if(F.col("sentiment") == v).alias(v) for v in ("negative", "neutral", "positive")), F.round(F.avg(signed_sentiment(F.col("sentiment"), F.col("sentiment_score"))), 6).alias("average"))
+
+
 def weekly_event_windows(spark, folder):
     return weekly_events(read_table(spark, folder, "events"))
 
@@ -389,7 +427,8 @@ QUERIES = {
         topic_assign_nearest_centroid, topic_fit, topic_words_ctfidf, topic_rename, binary_metrics, fold_averages, multiclass_metrics,
         confusion_matrix, loco_predictions, lead_time, sentiment_pivot_ratio, topic_share, top_keywords_scored, date_pattern_counts,
         date_format_exceptions, weekday_counts, weeks_with_fewest, null_empty_checks, length_stats, length_histogram, date_span,
-        examples_per_source, fold_label_counts, sample_for_labelling, weekly_event_windows,
+        examples_per_source, fold_label_counts, sample_for_labelling, weekly_event_windows, strip_html_parsed, raw_lookup, panel_scan,
+        events_scan, topic_corpus, ml_weeks, entity_dataset, entity_weeks, sentiment_by_topic,
     )
 }
 

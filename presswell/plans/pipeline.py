@@ -18,6 +18,7 @@ from presswell.operators.validate import validate
 from presswell.operators.weekly import article_dataset, child_dataset, weekly_panel
 from presswell.session import materialize
 
+RAW_SCHEMA = "id long, title string, content string, date string, link string"
 PROCESSED = (
     "article_id long, title_original string, title_clean string, content_original string, content_clean string, date_raw string, "
     "published_at timestamp_ntz, publication_date date, publication_year int, publication_month int, publication_week string, "

@@ -9,14 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from presswell.operators.store import swap_table
-from presswell.plans.pipeline import PROCESSED, process_new
-
-RAW = "id long, title string, content string, date string, link string"
+from presswell.plans.pipeline import PROCESSED, RAW_SCHEMA, process_new
 
 
 def read_articles(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
     """Raw articles from the JSON files that appear in a folder."""
-    return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(folder)
+    return spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
 def process_stream(articles: DataFrame, table: str, checkpoint: str, log: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
