@@ -121,40 +121,45 @@ def endings(docs: DataFrame) -> DataFrame:
 
 
 def strict_prefixes(ended: DataFrame, least: int = 40) -> DataFrame:
-    """(doc) of every row whose body of ``least`` characters or more is a strict prefix of another body."""
-    rows = ended.where(F.char_length("body") >= least).select("doc", "body")
-    schema = "doc long, edge int, task int, body string"
+    """(doc) of every row whose body of ``least`` characters or more is a strict prefix of another body.
+
+    Only values are sorted, not rows: copies are dropped within each batch
+    before the sort, what is left of them streams by, and rows find their
+    value again by its hash.
+    """
+    rows = ended.where(F.char_length("body") >= least)
+    schema = "value long, edge int, task int, body string"
+
+    def different(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.drop_duplicates("value")
 
     def neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        held: list[int] = []  # rows of the value that waits for the next different one
-        value = None
+        before: tuple[int, str] | None = None
         first = None
         for frame in frames:
             out = []
-            for doc, body in zip(frame["doc"], frame["body"], strict=True):
-                if value is None:
+            for value, body in zip(frame["value"], frame["body"], strict=True):
+                if before is None:
                     first = body
-                elif body != value:
-                    if body.startswith(value):
-                        out.extend(held)
-                    held = []
-                value = body
-                held.append(doc)
-            yield pd.DataFrame({"doc": out, "edge": 0, "task": task, "body": None})
-        if value is not None:
-            # what the next task's first value decides; copies of one value don't split over tasks
-            yield pd.DataFrame({"doc": held, "edge": 1, "task": task, "body": [value] + [None] * (len(held) - 1)})
-            yield pd.DataFrame({"doc": [-1], "edge": 2, "task": task, "body": [first]})
-
-    found = materialize(rows.repartitionByRange("body").sortWithinPartitions("body").mapInPandas(neighbours, schema), "prefixes")
+                elif body != before[1] and body.startswith(before[1]):
+                    out.append(before[0])
+                before = (value, body)
+            yield pd.DataFrame({"value": out, "edge": 0, "task": task, "body": None})
+        if before is not None:  # the next task's first value decides on the last one here
+            yield pd.DataFrame({"value": [before[0], 0], "edge": [1, 2], "task": task, "body": [before[1], first]})
+
+    values = rows.select(F.xxhash64("body").alias("value"), "body").mapInPandas(different, "value long, body string")
+    found = materialize(values.repartitionByRange("body").sortWithinPartitions("body").mapInPandas(neighbours, schema), "prefixes")
     firsts = found.where("edge = 2").select("task", F.col("body").alias("first"))
-    following = firsts.select(F.col("task"), F.lead("first").over(Window.orderBy("task")).alias("following"))  # one row a task
-    lasts = found.where("edge = 1").groupBy("task").agg(F.max("body").alias("body"))
-    open_tasks = lasts.join(following, "task").where(F.startswith("following", "body") & (F.col("following") != F.col("body"))).select("task")
-    return found.where("edge = 0").select("doc").unionByName(found.where("edge = 1").join(open_tasks, "task", "left_semi").select("doc"))
+    following = firsts.select("task", F.lead("first").over(Window.orderBy("task")).alias("following"))  # one row a task
+    last = found.where("edge = 1").select("task", "value", "body").join(following, "task")
+    last = last.where(F.startswith("following", "body") & (F.col("following") != F.col("body"))).select("value")
+    prefixes = found.where("edge = 0").select("value").unionByName(last).distinct()
+    return rows.select("doc", F.xxhash64("body").alias("value")).join(prefixes, "value", "left_semi").select("doc")
 
 
 def truncation(docs: DataFrame) -> DataFrame:
