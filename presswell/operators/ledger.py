@@ -19,6 +19,9 @@ reads those. A retry under the same token overwrites the same folder.
 
 from __future__ import annotations
 
+import os
+import struct
+import time
 import uuid
 from datetime import UTC, datetime, timedelta
 
@@ -64,22 +67,48 @@ class WorkLedger:
         for name in found:
             if name.startswith("."):
                 continue
-            stream = self._fs.open(self._Path(f"{self.path}/commits/{name}"))
-            try:
-                attempt = stream.readUTF()
-            finally:
-                stream.close()
+            attempt = self._read(f"{self.path}/commits/{name}")
             kind, _, folder = attempt.partition(" ")
             out = [(int(name), folder)] if kind == "full" else [*out, (int(name), folder)]
         return out
 
+    def _read(self, file: str, tries: int = 50) -> str:
+        """A commit file's text; one that its writer has only just created is waited for."""
+        for _ in range(tries):
+            stream = self._fs.open(self._Path(file))
+            try:
+                if stream.available():
+                    return stream.readUTF()
+            finally:
+                stream.close()
+            time.sleep(0.1)
+        raise RuntimeError(f"{file} stays empty: its writer died; delete it to go on")
+
     def _publish(self, number: int, attempt: str) -> bool:
-        """Create the commit file; False if another writer has taken the number."""
-        target = self._Path(f"{self.path}/commits/{number:08d}")
+        """Create the commit file with its text; False if another writer has taken the number.
+
+        On a mounted file system the complete file is hard-linked to its name,
+        elsewhere it is created without overwrite; either is atomic.
+        """
+        target = f"{self.path}/commits/{number:08d}"
+        local = target.removeprefix("file://") if target.startswith(("file:", "/")) else None
+        if local:
+            local = "/" + local.removeprefix("file:").lstrip("/")
+            draft = os.path.join(os.path.dirname(local), f".draft-{uuid.uuid4().hex}")
+            with open(draft, "wb") as out:
+                data = attempt.encode()
+                out.write(struct.pack(">H", len(data)) + data)
+            try:
+                os.link(draft, local)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(draft)
         try:
-            stream = self._fs.create(target, False)
+            stream = self._fs.create(self._Path(target), False)
         except Exception as error:  # a Java exception: FileAlreadyExists
-            if self._fs.exists(target):
+            if self._fs.exists(self._Path(target)):
                 return False
             raise error
         stream.writeUTF(attempt)

@@ -86,6 +86,15 @@ def test_two_writers_race_for_a_commit(spark, tmp_path, clock):
     assert a._publish(2, "part nowhere") and not b._publish(2, "part elsewhere")
 
 
+def test_one_of_many_racing_writers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    ledger = WorkLedger(spark, f"file://{tmp_path}/r")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: ledger._publish(1, f"part writer-{i}"), range(16)))
+    assert sum(won) == 1 and ledger._commits() == [(1, f"writer-{won.index(True)}")]
+
+
 def test_versions_and_nulls(spark):
     t = datetime(2026, 1, 1)
     raw = spark.createDataFrame([(1, None, "a", None, t), (2, "a", None, None, t), (2, "b", None, None, None), (3, "x", "y", "z", t), (None, "q", "q", "q", t)], "id long, title string, content string, date string, scraped_at timestamp_ntz")
