@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from presswell.llm.neardup import chunks
 from presswell.session import materialize
 
-#: The knapsack closes gaps of up to so many times the greatest length.
+#: The knapsack closes gaps of up to so many times a usual length.
 REACH = 4
 
 
@@ -65,7 +65,12 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
         return {x: counts[x] for x in lengths}
     plan = {x: counts[x] * budget // total for x in lengths}
     gap = budget - sum(x * n for x, n in plan.items())
-    reach = REACH * lengths[-1]
+    most, seen = sum(counts[x] for x in lengths), 0
+    for usual in lengths:  # the length that nine tenths of the documents don't exceed: rare huge ones take no part below
+        seen += counts[usual]
+        if 10 * seen >= 9 * most:
+            break
+    reach = REACH * usual
     for x in reversed(lengths):  # large lengths first, down to what the knapsack can close
         more = min(counts[x] - plan[x], max(0, gap - reach) // x)
         plan[x] += more
