@@ -35,6 +35,8 @@ def newest_rows(df: DataFrame, keys: list[str], order: str, tie: Column | None =
     Ties on ``order`` fall to ``tie`` (default: a hash of all columns).
     """
     tie = F.xxhash64(*df.columns) if tie is None else tie
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), tie.desc())
     known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
-    return df.where(known).withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    # the tie is worked out before the shuffle, so columns nobody asks for stay behind
+    marked = df.where(known).withColumn("__tie", tie)
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), F.col("__tie").desc())
+    return marked.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank", "__tie")
