@@ -359,7 +359,8 @@ def near_duplicate_links(
     copies = docs.groupBy("set_hash").agg(F.min("doc").alias("a"), F.count("*").alias("c")).where("c > 1")
     copies = docs.select("set_hash", F.col("doc").alias("b")).join(copies, "set_hash").where("a <> b").select("a", "b")
 
-    ranges = min(4096, max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # one task adds up one range; their number follows the cluster's setting
+    ranges = min(1 << 18, max(64, 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     listed = spark.sparkContext.broadcast(frequent_tokens(docs, width, most, ranges))
     level = int(np.ceil(4 * np.log2(rare)))
     postings = _postings(docs, width, threshold, level, small, ranges, listed)
