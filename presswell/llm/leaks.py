@@ -26,13 +26,17 @@ from presswell.llm.shingles import hash_words, words_of
 from presswell.session import materialize, scratch_path
 
 #: So many of each window's rarest terms are intersected.
-ANCHORS = 3
+ANCHORS = 6
 
 
-def pack(at: np.ndarray) -> tuple[bytes, bool]:
+def pack(at: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(packed lists, whether each takes 4 bytes a place instead of 2) of the ascending lists that begin at ``first`` of ``at``."""
     gaps = np.diff(at, prepend=0)
-    wide = bool(len(gaps)) and int(gaps.max()) > 65535
-    return gaps.astype(np.uint32 if wide else np.uint16).tobytes(), wide
+    gaps[first] = at[first]
+    wide = np.maximum.reduceat(gaps, first) > 65535 if len(first) else np.empty(0, bool)
+    small, large = gaps.astype(np.uint16).tobytes(), gaps.astype(np.uint32).tobytes()
+    ends = [*first[1:], len(at)]
+    return [large[4 * a : 4 * b] if w else small[2 * a : 2 * b] for a, b, w in zip(first, ends, wide, strict=True)], wide
 
 
 def unpack(packed: bytes, wide: bool) -> np.ndarray:
@@ -65,8 +69,8 @@ class PositionalIndex:
                 h = hash_words(flat).view(np.int64)
                 order = np.argsort(h, kind="stable")
                 terms, first, n = np.unique(h[order], return_index=True, return_counts=True)
-                packed = [pack(order[i : i + k]) for i, k in zip(first, n, strict=True)]
-                yield pd.DataFrame({"segment": segment, "term": terms, "n": n.astype(np.int32), "wide": [w for _, w in packed], "at": [p for p, _ in packed], "doc": None, "start": None, "words": None})
+                packed, wide = pack(order, first)
+                yield pd.DataFrame({"segment": segment, "term": terms, "n": n.astype(np.int32), "wide": wide, "at": packed, "doc": None, "start": None, "words": None})
 
         # one pass writes both kinds of rows, in folders of their own
         rows = docs.where("doc is not null").select("doc", "text").mapInPandas(run, schema)

@@ -186,8 +186,9 @@ def test_leaks_equal_brute_force(spark, nasty):
 
 
 def test_packed_lists():
-    for at in ([], [0], [5, 6, 90], [3, 70_000, 200_000]):
-        assert leaks.unpack(*leaks.pack(np.array(at, dtype=np.int64))).tolist() == at
+    lists = [[0], [5, 6, 90], [3, 70_000, 200_000], [1, 2]]
+    packed, wide = leaks.pack(np.array(sum(lists, []), dtype=np.int64), np.cumsum([0, *map(len, lists[:-1])]))
+    assert [leaks.unpack(p, w).tolist() for p, w in zip(packed, wide)] == lists and wide.tolist() == [False, False, True, False]
 
 
 # -- mixing ------------------------------------------------------------------
