@@ -64,7 +64,7 @@ def near_pairs(texts: DataFrame, threshold: float = NEAR_DUPLICATE_COSINE, stopw
     the terms before them; only these meet in the join, and the full product
     is taken of the pairs found.
     """
-    weights = day_term_weights(texts, stopwords, most)
+    weights = materialize(day_term_weights(texts, stopwords, most), "weights")  # read four times below
     by_rarity = Window.partitionBy("day", "doc").orderBy(F.asc("idf"), F.desc("term"))  # one text's terms
     tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_rarity))
     head = weights.withColumn("tail", tail).where(F.col("tail") >= threshold - 1e-9).select("day", "term", "doc")
