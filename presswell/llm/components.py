@@ -37,10 +37,10 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     ends = links.where("a is not null and b is not null and a <> b")
     current = materialize(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(rounds):
-        done = current.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and current.join(
-            current.select(F.col("u").alias("v")).distinct(), "v", "left_semi"
-        ).isEmpty()
-        if done:
+        # settled: every node has one link, and none leads to a node that has a link itself
+        several = current.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        chained = current.join(current.select(F.col("u").alias("v")), "v", "left_semi").select("u")
+        if several.unionByName(chained).isEmpty():
             break
         current = materialize(_star(_star(current, True), False), "links")
     else:

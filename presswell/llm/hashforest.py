@@ -84,27 +84,28 @@ class HashForest:
         found.sortWithinPartitions("tree", "key").write.option("compression", "zstd").parquet(path)
         return path
 
-    def _read(self) -> DataFrame:
-        return self.spark.read.schema("tree int, key long, set_hash long").parquet(*self.runs)
+    def _read(self, *runs: str) -> DataFrame:
+        return self.spark.read.schema("tree int, key long, set_hash long").parquet(*(runs or self.runs))
 
-    def add(self, docs: DataFrame) -> None:
-        """Append the texts' classes as a run, and merge the runs if there are too many."""
-        self.runs.append(self._write(entries(docs, self.width, self.trees)))
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Append the texts' classes as a run, merge the runs if there are too many, and return the run's entries."""
+        own = self._write(entries(docs, self.width, self.trees))
+        self.runs.append(own)
         if len(self.runs) > self.most_runs:
             merged = self._write(self._read().distinct().repartitionByRange("tree", "key"))
             self.runs = [merged]
+        return self._read(own)
 
-    def lookup(self, docs: DataFrame) -> DataFrame:
-        """(a, b): classes b of ``docs`` with classes a of the forest that share a widened prefix.
+    def lookup(self, run: DataFrame) -> DataFrame:
+        """(a, b): classes of ``run`` (tree, key, set_hash) and classes of the forest that share a widened prefix.
 
         Blocks of at most ``block`` classes are broadcast (about 32 bytes an
         entry, so 5 MB for 40 trees); the forest's runs are scanned in place
-        and never shuffled. A batch of more than 16 blocks is joined by
-        shuffle instead.
+        and never shuffled. A run of more than 16 blocks is joined by shuffle
+        instead.
         """
         shift = BITS * (DEPTH - self.depth)
-        asked = entries(docs, self.width, self.trees).distinct()
-        asked = materialize(asked.select("tree", F.shiftrightunsigned("key", shift).alias("prefix"), F.col("set_hash").alias("b")), "asked")
+        asked = run.select("tree", F.shiftrightunsigned("key", shift).alias("prefix"), F.col("set_hash").alias("b"))
         size = asked.where("tree = 0").count()
         held = self._read().select("tree", F.shiftrightunsigned("key", shift).alias("prefix"), F.col("set_hash").alias("a"))
         blocks = -(-size // self.block)
@@ -149,8 +150,7 @@ def batch_duplicates(history: DataFrame, batches: DataFrame, threshold: float =
     found = None
     for number in [r[0] for r in fresh.select("batch_no").distinct().orderBy("batch_no").collect()]:
         batch = fresh.where(F.col("batch_no") == number)
-        forest.add(batch)
-        pairs = materialize(forest.lookup(batch), "found")
+        pairs = materialize(forest.lookup(forest.add(batch)), "found")
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         return spark.createDataFrame([], "id_a long, id_b long")

@@ -340,8 +340,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -
 
 def near_duplicate_links(
     texts: DataFrame, threshold: float = 0.8, width: int = 5, rare: int = 2, small: int = 16, most: int = 1 << 20
-) -> tuple[DataFrame, DataFrame]:
-    """(links, copies) between near-duplicate texts.
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(links, copies, components if they are known already) of near-duplicate texts.
 
     ``texts`` has ``doc`` (bigint, one row each) and ``text``; other columns
     are ignored. ``links`` (a, b) connects texts with different shingle sets;
@@ -375,7 +375,7 @@ def near_duplicate_links(
 
     members = found.where("kind = 1").select("key", F.col("b").alias("doc")).distinct()
     if members.isEmpty():
-        return links, copies
+        return links, copies, None
     labels = connected_components(links.unionByName(copies))
     labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -384,12 +384,13 @@ def near_duplicate_links(
     meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
     sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
     rest = x.join(y, meets & sizes & _could_match(threshold)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-    rest = rest.join(links, ["a", "b"], "left_anti")
-    return links.unionByName(_verified(rest, docs, width, threshold)), copies
+    rest = materialize(_verified(rest.join(links, ["a", "b"], "left_anti"), docs, width, threshold), "rest")
+    return links.unionByName(rest), copies, labels if rest.isEmpty() else None
 
 
 def near_duplicate_groups(texts: DataFrame, threshold: float = 0.8, width: int = 5, **options) -> DataFrame:
     """(group_id, doc) of each text that has a near-duplicate; group_id is the group's least doc."""
-    links, copies = near_duplicate_links(texts, threshold, width, **options)
-    labels = connected_components(links.unionByName(copies))
+    links, copies, labels = near_duplicate_links(texts, threshold, width, **options)
+    if labels is None:
+        labels = connected_components(links.unionByName(copies))
     return labels.select(F.col("component").alias("group_id"), F.col("node").alias("doc"))

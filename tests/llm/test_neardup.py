@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from presswell.llm.components import connected_components
-from presswell.llm.hashforest import DEPTH, HashForest, batch_duplicates, recall, signature_keys
+from presswell.llm.hashforest import DEPTH, HashForest, batch_duplicates, entries, recall, signature_keys
 from presswell.llm.neardup import TIERS, _buckets, near_duplicate_groups, near_duplicate_links, parity_bitmaps, prefix_keys
 from presswell.llm.shingles import WORD, shingle_batch, similarity
 
@@ -82,7 +82,7 @@ def test_odd_texts_repeats_and_clashing_columns(spark, nasty):
     want = {(i, d) for i, t in enumerate(nasty) if len(shingles(t, 2)) for d in (i, 100 + i)}
     assert got == want
     assert near_duplicate_groups(df.limit(0), 0.8, 2).count() == 0
-    links, copies = near_duplicate_links(df.where("doc = 1"))
+    links, copies, _ = near_duplicate_links(df.where("doc = 1"))
     assert links.count() == 0 and copies.count() == 0
 
 
@@ -170,9 +170,11 @@ def test_forest_runs_merge_and_widen(spark, tmp_path):
     forest = HashForest(spark, f"file://{tmp_path}/f", trees=20, threshold=0.6, width=3, most_runs=2, block=5)
     for k in range(4):
         forest.add(known.where(f"doc % 4 = {k}"))
+    run = forest.add(known.limit(0))
+    assert forest.lookup(run).count() == 0
     assert len(forest.runs) <= 2 and recall(forest.depth, 20, 0.6) >= 0.9999 or forest.depth == 1
     assert forest._read().count() == 30 * 20
-    found = {(r.a, r.b) for r in forest.lookup(known).collect()}
+    found = {(r.a, r.b) for r in forest.lookup(entries(known, 3, 20)).collect()}
     hashes = {r.doc: r.set_hash for r in known.collect()}
     for i, s in docs:
         for j, t in docs:
