@@ -174,18 +174,20 @@ def prefix_keys(offsets: np.ndarray, tokens: np.ndarray, level: np.ndarray, whol
     """(text number, key) of every key of every set.
 
     ``level`` 0 means unlisted: if the list is whole, such a shingle occurs in
-    one text only and can't be shared; otherwise it counts as frequent.
-    Levels up to ``rare`` are rare.
+    one text only and can't be shared; otherwise it counts as frequent. Levels
+    up to ``rare`` are rare. All rare shingles come before all frequent ones:
+    if the first shared one is frequent, so are all l of the l-prefixes.
     """
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((tokens, level, doc))
+    late = level > rare if whole else (level > rare) | (level == 0)
+    order = np.lexsort((tokens, level, late, doc))
     tokens, level = tokens[order], level[order]
     at = np.arange(len(tokens)) - offsets[:-1][doc]
     need = np.ceil(threshold * n - 1e-9).astype(np.int64)
     first = at < (n - need + 1)[doc]
     single = (level > 0) & (level <= rare)
-    frequent = level > rare if whole else ~single
+    frequent = late[order]
     docs_out, keys_out = [doc[first & single]], [tokens[first & single]]
     combine = np.zeros(len(n), dtype=bool)
     np.logical_or.at(combine, doc[first & frequent], True)

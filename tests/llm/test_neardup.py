@@ -102,6 +102,19 @@ def test_prefixes_share_a_key():
     assert all(least > larger for (least, _), (larger, _) in zip(TIERS, TIERS[1:]))
 
 
+def test_a_partly_listed_vocabulary_loses_no_contained_text():
+    rng = np.random.default_rng(4)
+    for n, inner in ((200, 121), (1000, 605), (40, 25), (9, 6)):
+        for share in (0.0, 0.03, 0.3, 1.0):
+            for _ in range(10):
+                x = np.unique(rng.integers(0, 1 << 60, n, dtype=np.uint64))
+                y = np.sort(rng.choice(x, inner, replace=False))
+                shared = {int(t): 0 if rng.random() < share else 4 for t in y}  # texts that share them: two, not all of it listed
+                level = np.array([shared.get(int(t), 0) for t in np.concatenate((x, y))], np.uint8)
+                owner, key = prefix_keys(np.array([0, n, n + inner]), np.concatenate((x, y)), level, False, 0.6, 4)
+                assert similarity(x, y) >= 0.6 and set(key[owner == 0]) & set(key[owner == 1])
+
+
 def test_keys_grow_with_the_text():
     x = np.unique(np.random.default_rng(2).integers(0, 1 << 60, 200_000, dtype=np.uint64))
     owner, _ = prefix_keys(np.array([0, len(x)]), x, np.full(len(x), 9, np.uint8), True, 0.6, 4)
