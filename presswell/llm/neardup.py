@@ -43,6 +43,7 @@ TIERS = tuple((72 * 9**k, 40 * 9**k) for k in range(8, -1, -1)) + ((24, 12), (8,
 BITMAP = 8  # 64-bit words
 _U = np.uint64
 _CHARS = 4_000_000
+_PLAIN, _HOT = -1, -2  # instead of a leader: an ordinary posting, the leader's own one
 
 
 def chunks(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
@@ -217,7 +218,11 @@ def prefix_keys(offsets: np.ndarray, tokens: np.ndarray, level: np.ndarray, whol
 
 
 def _postings(docs: DataFrame, width: int, threshold: float, rare: int, small: int, ranges: int, listed) -> DataFrame:
-    """(key, doc, n, leader): leader is NULL but for texts of buckets already large within one batch."""
+    """(key, doc, n, leader) with the leader of texts of buckets already large within one batch.
+
+    The leader's own posting is marked _HOT, so the key's task knows that the
+    bucket is large even if it sees few of its texts; all others are _PLAIN.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, levels, whole = listed.value
@@ -233,7 +238,7 @@ def _postings(docs: DataFrame, width: int, threshold: float, rare: int, small: i
             leader = np.repeat(doc[owner[start]], size)
             hot = np.repeat(size > small, size)
             ids = doc[owner]
-            yield pd.DataFrame({"key": key.view(np.int64), "doc": ids, "n": n[owner].astype(np.int32), "leader": pd.array(np.where(hot & (ids != leader), leader, -1), dtype="int64")})
+            yield pd.DataFrame({"key": key.view(np.int64), "doc": ids, "n": n[owner].astype(np.int32), "leader": np.where(hot, np.where(ids != leader, leader, _HOT), _PLAIN)})
 
     return docs.select("doc", "text", "set_hash").mapInPandas(run, "key long, doc long, n int, leader long")
 
@@ -243,7 +248,9 @@ def _buckets(postings: DataFrame, threshold: float, small: int) -> DataFrame:
 
     Rows (kind, key, a, na, b, nb): kind 0 is a candidate link, kind 1 says
     that b belongs to the large bucket ``key``. A task sees each key's
-    postings together and keeps at most ``small`` + 1 of them at a time.
+    postings together and keeps at most ``small`` + 1 of them at a time. A
+    bucket is large beyond ``small`` postings or with a _HOT one: then all its
+    texts are members, those spread over other tasks and those seen here.
     """
     schema = "kind int, key long, a long, na int, b long, nb int"
 
@@ -268,7 +275,8 @@ def _buckets(postings: DataFrame, threshold: float, small: int) -> DataFrame:
             live = np.repeat(size, size)[:end]
             group = np.repeat(start, size)[:end]
             k, d, m = key[:end], doc[:end], n[:end]
-            big = live > small
+            hot = np.logical_or.reduceat(frame["leader"].to_numpy() == _HOT, start)
+            big = (live > small) | np.repeat(hot, size)[:end]
             lead_doc, lead_n = d[group], m[group]
             if len(k) and int(k[0]) in head:  # the rest of a bucket that is known to be large
                 again = k == k[0]

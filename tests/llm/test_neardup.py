@@ -1,11 +1,13 @@
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from presswell.llm.components import connected_components
 from presswell.llm.hashforest import DEPTH, HashForest, batch_duplicates, entries, recall, signature_keys
-from presswell.llm.neardup import TIERS, _buckets, near_duplicate_groups, near_duplicate_links, parity_bitmaps, prefix_keys
+from presswell.llm.neardup import TIERS, _buckets, _postings, frequent_tokens, near_duplicate_groups, near_duplicate_links, parity_bitmaps, prefix_keys, profiles
 from presswell.llm.shingles import WORD, shingle_batch, similarity
 
 
@@ -75,6 +77,24 @@ def test_a_third_of_all_texts_in_one_family(spark):
     assert {r.doc for r in got} == set(range(0, 240, 3)) and {r.group_id for r in got} == {0}
 
 
+def test_a_bucket_hot_in_one_chunk_meets_the_other_chunks(spark):
+    docs = [(i, " ".join([f"w{k}" for k in range(20)] + [f"o{i}x{k}" for k in range(13)])) for i in range(60)]
+    whole = profiles(spark.createDataFrame(docs, "doc long, text string"), 1).withColumn("part", F.expr("doc >= 50")).repartitionByRange(2, "part")
+    listed = spark.sparkContext.broadcast(frequent_tokens(whole, 1, 1 << 20, 64))
+    postings = _postings(whole, 1, 0.6, 4, 16, 64, listed)
+    texts = defaultdict(set)
+    for r in postings.collect():
+        texts[r.key].add(r.doc)
+    links, members = set(), defaultdict(set)
+    for r in _buckets(postings, 0.6, 16).collect():
+        members[r.key].add(r.b) if r.kind else links.add(frozenset((r.a, r.b)))
+    assert {r.doc for r in postings.collect() if r.leader >= 0} == set(range(1, 50))
+    for key, found in texts.items():
+        for a in found:
+            for b in found:
+                assert a == b or {a, b} <= members[key] or frozenset((a, b)) in links
+
+
 def test_odd_texts_repeats_and_clashing_columns(spark, nasty):
     rows = [(i, t, 1, "x") for i, t in enumerate(nasty)] + [(100 + i, t, 2, None) for i, t in enumerate(nasty)] + [(None, "two words", 1, "")]
     df = spark.createDataFrame(rows, "doc long, text string, key int, component string")
