@@ -10,6 +10,7 @@ QUERIES = {
     "p4_found": rolling.p4_found,
     "p4_weekly": rolling.p4_weekly,
     "p4_entities": rolling.p4_entities,
+    "p4_entity_days": rolling.p4_entity_days,
 }
 
 _P1 = """

@@ -49,6 +49,10 @@ def p4_weekly(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumns(rounded)
 
 
+def _name() -> Column:
+    return F.lower(F.trim(F.regexp_replace("entity", r"\s+", " ")))
+
+
 def entity_days(entities: DataFrame, processed: DataFrame) -> DataFrame:
     """Mentions per entity and ``publication_date`` of the mentioning article's current row.
 
@@ -57,17 +61,42 @@ def entity_days(entities: DataFrame, processed: DataFrame) -> DataFrame:
     without a date are left out. Counts are taken per day before any calendar
     is made, so a hot entity shuffles no more than one row per day and task.
     """
-    name = F.lower(F.trim(F.regexp_replace("entity", r"\s+", " ")))
-    mentions = entities.select("article_id", "entity", "entity_type", "confidence").distinct().select("article_id", name.alias("entity"))
+    mentions = entities.select("article_id", "entity", "entity_type", "confidence").distinct().select("article_id", _name().alias("entity"))
     dates = newest_values(processed, ["article_id"], "processing_timestamp", [F.col("publication_date")])
     return mentions.join(dates, "article_id").where("publication_date is not null and entity <> ''").groupBy("entity", "publication_date").agg(F.count("*").alias("mentions"))
 
 
-def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals and averages over 7 and 30 days on each day from an entity's first to its last mention."""
-    days = entity_days(read_table(spark, folder, "article_entities"), read_table(spark, folder, "processed_news"))
-    sums = trailing(densify(days, ["entity"], "publication_date"), ["entity"], "publication_date", "mentions", [7, 30])
+def _entity_totals(dense: DataFrame) -> DataFrame:
+    sums = trailing(dense, ["entity"], "publication_date", "mentions", [7, 30])
     return sums.select(
         "entity", "publication_date", F.coalesce("mentions", F.lit(0)).alias("mentions"), "total_7", "total_30",
         F.round(F.col("total_7") / 7, 6).alias("average_7"), F.round(F.col("total_30") / 30, 6).alias("average_30"),
     )
+
+
+def entity_calendar(entities: DataFrame, processed: DataFrame) -> DataFrame:
+    """Totals and averages over 7 and 30 days of every entity on every day from the first to the last ``publication_date``.
+
+    The days are those of all current rows, with mentions or without, and are
+    the same for each entity. An entity without a dated mention has zeros.
+    """
+    dates = newest_values(processed, ["article_id"], "processing_timestamp", [F.col("publication_date")])
+    first, last = (F.lit(d).cast("date") for d in dates.agg(F.min("publication_date"), F.max("publication_date")).first())
+    every = entities.select(_name().alias("entity")).where("entity <> ''").distinct()
+    days = entity_days(entities, processed).unionByName(every.select("entity", first.alias("publication_date"), F.lit(0).alias("mentions")))
+    days = days.groupBy("entity", "publication_date").agg(F.sum("mentions").alias("mentions"))
+    return _entity_totals(densify(days, ["entity"], "publication_date", first=first, last=last))
+
+
+def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals and averages over 7 and 30 days on each day from an entity's first to its last mention.
+
+    Days outside an entity's mentions are left out, as in the SQL twin; ``p4_entity_days`` has them all.
+    """
+    days = entity_days(read_table(spark, folder, "article_entities"), read_table(spark, folder, "processed_news"))
+    return _entity_totals(densify(days, ["entity"], "publication_date"))
+
+
+def p4_entity_days(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for every entity and day of the table."""
+    return entity_calendar(read_table(spark, folder, "article_entities"), read_table(spark, folder, "processed_news"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from presswell.operators.ledger import StaleLease, WorkLedger
 from presswell.operators.rolling import densify, trailing
 from presswell.plans.incremental import finished_versions, source_versions
-from presswell.plans.rolling import entity_days, weekly_averages
+from presswell.plans.rolling import entity_calendar, entity_days, weekly_averages
 
 ITEMS = "item_id long, version long"
 
@@ -147,3 +147,14 @@ def test_entity_days_counts_rows_once(spark):
     t = datetime(2026, 1, 1)
     p = spark.createDataFrame([(1, t, date(2026, 1, 1)), (1, datetime(2025, 1, 1), date(2025, 1, 1)), (2, t, None)], "article_id long, processing_timestamp timestamp_ntz, publication_date date")
     assert [tuple(r) for r in entity_days(m, p).collect()] == [("a b", date(2026, 1, 1), 2)]
+
+
+def test_entity_calendar_goes_on_after_the_last_mention(spark):
+    m = spark.createDataFrame([(1, "a", "ORG", 1.0), (1, "b", "ORG", 1.0), (2, "b", "ORG", 1.0), (9, "never dated", "ORG", 1.0)], "article_id long, entity string, entity_type string, confidence double")
+    t = datetime(2026, 1, 1)
+    p = spark.createDataFrame([(k, t, date(2026, 1, 1) + timedelta(days=d)) for k, d in ((0, 0), (1, 2), (2, 4), (3, 39))], "article_id long, processing_timestamp timestamp_ntz, publication_date date")
+    mentioned = {"a": [2], "b": [2, 4], "never dated": []}
+    want = {(e, date(2026, 1, 1) + timedelta(days=k), k in at, sum(k - 7 < d <= k for d in at), sum(k - 30 < d <= k for d in at)) for e, at in mentioned.items() for k in range(40)}
+    got = [(r.entity, r.publication_date, r.mentions == 1, r.total_7, r.total_30) for r in entity_calendar(m, p).collect()]
+    assert set(got) == want and len(got) == 120
+    assert entity_calendar(m, p.limit(0)).count() == 0
