@@ -113,29 +113,59 @@ def assign_duplicates(articles: DataFrame, threshold: float = NEAR_DUPLICATE_COS
     )
 
 
-def check_new(new: DataFrame, known: DataFrame, threshold: float = NEAR_DUPLICATE_COSINE) -> DataFrame:
+def check_new(new: DataFrame, known: DataFrame, threshold: float = NEAR_DUPLICATE_COSINE, within: bool = True) -> DataFrame:
     """Duplicate status of new articles against known ones, without any known article being judged again.
 
-    A hash found in ``known`` makes an EXACT_DUPLICATE; otherwise the day's
-    known articles that are no exact duplicates and the new one are compared.
-    An article never matches its own id.
+    A hash (or link, if both tables have it) found in ``known`` makes an
+    EXACT_DUPLICATE; otherwise the day's known articles that are no exact
+    duplicates and the new ones are compared. Known articles come before new
+    ones whatever their ids, new ones among each other in order of id, unless
+    ``within`` is false. An article never matches its own id, nor one that is
+    known as its duplicate.
     """
-    hashed = new.withColumn("content_hash", content_hash(F.col("content_clean")))
-    first = known.where("content_hash is not null").select(F.col("content_hash"), F.col("article_id").alias("__id"))
-    match = hashed.join(first, "content_hash").where("__id <> article_id").groupBy("article_id").agg(F.min("__id").alias("__exact"))
+    hashed = materialize(new.withColumn("content_hash", content_hash(F.col("content_clean"))), "hashed")
+    ids = hashed.select("article_id")
+    owner = F.col("duplicate_of") if "duplicate_of" in known.columns else F.lit(None).cast("long")
+    before = known.withColumn("duplicate_of", owner).join(ids, "article_id", "left_anti")
+    apart = F.coalesce(F.col("__of") != F.col("article_id"), F.lit(True))
+    match = None
+    for column in ("link", "content_hash"):
+        if column not in hashed.columns or column not in known.columns:
+            continue
+        mine = hashed.where(F.col(column).isNotNull() & (F.col(column) != "")).select("article_id", column)
+        hit = mine.join(before.select(column, F.col("article_id").alias("__id"), F.col("duplicate_of").alias("__of")), column).where(apart).select("article_id", "__id")
+        if within:
+            least = mine.groupBy(column).agg(F.min("article_id").alias("__id"))
+            hit = hit.unionByName(mine.join(least, column).where("__id < article_id").select("article_id", "__id"))
+        hit = hit.groupBy("article_id").agg(F.min("__id").alias("__exact"))
+        match = hit if match is None else match.unionByName(hit.join(match, "article_id", "left_anti"))
+    match = materialize(match, "exact")
     days = hashed.select("publication_date").where("publication_date is not null").distinct()
-    around = known.where("coalesce(duplicate_status, 'EXACT_DUPLICATE') <> 'EXACT_DUPLICATE'").join(days, "publication_date", "left_semi")
-    around = around.join(hashed.select("article_id"), "article_id", "left_anti")
-    texts = around.select(F.col("article_id").alias("doc"), F.col("publication_date").alias("day"), F.col("content_clean").alias("text"), F.lit(False).alias("new"))
-    texts = texts.unionByName(hashed.select(F.col("article_id").alias("doc"), F.col("publication_date").alias("day"), F.col("content_clean").alias("text"), F.lit(True).alias("new")))
-    pairs = near_pairs(texts.drop("new"), threshold)
-    sides = pairs.select(F.col("a").alias("n"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("n"), F.col("a").alias("o")))
-    near = sides.join(hashed.select(F.col("article_id").alias("n")), "n", "left_semi").where("o < n").groupBy("n").agg(F.min("o").alias("__near")).withColumnRenamed("n", "article_id")
+    around = before.where("coalesce(duplicate_status, 'EXACT_DUPLICATE') <> 'EXACT_DUPLICATE'").join(days, "publication_date", "left_semi")
+    columns = [F.col("article_id").alias("doc"), F.col("publication_date").alias("day"), F.col("content_clean").alias("text")]
+    left = hashed.join(match, "article_id", "left_anti")
+    pairs = near_pairs(around.select(*columns).unionByName(left.select(*columns)), threshold)
+    sides = pairs.select(F.col("a").alias("article_id"), F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("article_id"), F.col("a").alias("o")))
+    sides = sides.join(ids, "article_id", "left_semi").join(around.select(F.col("article_id").alias("o"), F.col("duplicate_of").alias("__of"), F.lit(True).alias("__known")), "o", "left")
+    earlier = F.when(F.col("__known"), apart).otherwise((F.col("o") < F.col("article_id")) & F.lit(within))
+    near = sides.where(earlier).groupBy("article_id").agg(F.min("o").alias("__near"))
     out = hashed.select("article_id", "content_hash").join(match, "article_id", "left").join(near, "article_id", "left")
     status = F.when(F.col("__exact").isNotNull(), "EXACT_DUPLICATE").when(F.col("__near").isNotNull(), "NEAR_DUPLICATE").otherwise("UNIQUE")
     return out.select("article_id", "content_hash", status.alias("duplicate_status"), F.coalesce("__exact", "__near").alias("duplicate_of"))
 
 
+def assign_after(articles: DataFrame, known: DataFrame) -> DataFrame:
+    """``assign_duplicates`` of a run, its articles also matched with ``known`` ones, which come first."""
+    own = assign_duplicates(articles)
+    old = check_new(articles, known, within=False).select("article_id", F.col("duplicate_status").alias("__status"), F.col("duplicate_of").alias("__of"))
+    use = (F.col("__status") == "EXACT_DUPLICATE") | ((F.col("__status") == "NEAR_DUPLICATE") & (F.col("duplicate_status") != "EXACT_DUPLICATE"))
+    return own.join(old, "article_id").select(
+        "article_id", "content_hash",
+        F.when(use, F.col("__status")).otherwise(F.col("duplicate_status")).alias("duplicate_status"),
+        F.when(use, F.col("__of")).otherwise(F.col("duplicate_of")).alias("duplicate_of"),
+    )
+
+
 def shared_values(rows: DataFrame, column: str) -> DataFrame:
     """All rows whose ``column`` occurs more than once; NULL is no value."""
     often = rows.groupBy(column).agg(F.count("*").alias("copies")).where("copies > 1")

@@ -9,7 +9,7 @@ from presswell import config
 from presswell.functions.dates import date_columns
 from presswell.functions.text import clean_text, sentence_count, word_count
 from presswell.operators.anomaly import anomaly_scores
-from presswell.operators.dedup import assign_duplicates, check_new
+from presswell.operators.dedup import assign_after, check_new
 from presswell.operators.enrich import count_entities, keyword_scores, pattern_mentions, score_sentiment, top_keywords
 from presswell.operators.events import label_weeks
 from presswell.operators.store import needing, stage_log, unprocessed, upsert
@@ -59,13 +59,19 @@ def _columns(spark: SparkSession) -> list:
     return [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
 
 
+def _known(processed: DataFrame) -> DataFrame:
+    return processed.where("processing_status = 'COMPLETED'").select("article_id", "content_clean", "content_hash", "publication_date", "duplicate_status", "duplicate_of")
+
+
 def process_existing(raw: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(processed table after the run, log rows) of all articles not processed yet or failed.
 
-    Duplicates are judged over the whole run, not batch by batch.
+    Duplicates are judged over the whole run, not batch by batch, and against
+    what is processed already, whose links are those of ``raw``.
     """
     rows = materialize(cleaned(unprocessed(raw, processed)), "cleaned")
-    marks = assign_duplicates(rows.where("is_valid").select("article_id", "content_clean", "link", "publication_date"))
+    links = raw.select(F.col("id").alias("article_id"), "link").dropDuplicates(["article_id"])
+    marks = assign_after(rows.where("is_valid").select("article_id", "content_clean", "link", "publication_date"), _known(processed).join(links, "article_id", "left"))
     full = materialize(_finish(rows, marks), "processed")
     return upsert(processed, full.select(*_columns(raw.sparkSession)), ["article_id"]), stage_log(full)
 
@@ -73,8 +79,7 @@ def process_existing(raw: DataFrame, processed: DataFrame) -> tuple[DataFrame, D
 def process_new(new: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same for a few new articles, each judged against everything processed before."""
     rows = materialize(cleaned(new), "cleaned")
-    known = processed.where("processing_status = 'COMPLETED'").select("article_id", "content_clean", "content_hash", "publication_date", "duplicate_status")
-    marks = check_new(rows.where("is_valid").select("article_id", "content_clean", "publication_date"), known)
+    marks = check_new(rows.where("is_valid").select("article_id", "content_clean", "publication_date"), _known(processed))
     full = materialize(_finish(rows, marks), "processed")
     return upsert(processed, full.select(*_columns(new.sparkSession)), ["article_id"]), stage_log(full)
 

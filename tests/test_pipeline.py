@@ -39,6 +39,20 @@ def test_batch_then_single(spark):
     assert [(r.week, r.article_count, r.label_pre_crisis) for r in panel] == [("2026-W14", 3, 1)]
 
 
+def test_new_articles_meet_all_others(spark):
+    row = lambda i, end, day, link: (i, "Port", BODY + end, day, link)
+    table, _ = process_existing(spark.createDataFrame([row(50, "One.", "01 Apr 2026", "a"), row(60, "One.", "02 Apr 2026", "b")], RAW), spark.createDataFrame([], PROCESSED))
+    batch = spark.createDataFrame([row(7, "One today.", "01 Apr 2026", "c"), (8, "Rice", BODY[::-1], "bad", "d"), (9, "Rice", BODY[::-1], "03 Apr 2026", "e"), row(50, "One.", "01 Apr 2026", "a")], RAW)
+    got = {r.article_id: (r.duplicate_status, r.duplicate_of) for r in process_new(batch, table)[0].collect()}
+    assert got[7] == ("NEAR_DUPLICATE", 50) or got[50] == ("NEAR_DUPLICATE", 7)
+    assert got[8] == ("UNIQUE", None) and got[9] == ("EXACT_DUPLICATE", 8) and got[60] == ("EXACT_DUPLICATE", 50)
+    got = {r.article_id: (r.duplicate_status, r.duplicate_of) for r in process_new(batch.where("id = 7"), table)[0].collect()}
+    assert got[7] == ("NEAR_DUPLICATE", 50) and got[50] == ("UNIQUE", None)
+    later = spark.createDataFrame([row(50, "One.", "01 Apr 2026", "a"), row(3, "One.", "bad", "x"), row(4, "One today.", "01 Apr 2026", "y"), (5, "Rice", BODY[::-1], "bad", "a"), (6, "Rice", BODY.upper()[::-1] + " More.", "bad", "z")], RAW)
+    got = {r.article_id: (r.duplicate_status, r.duplicate_of) for r in process_existing(later, table)[0].collect()}
+    assert got[3] == ("EXACT_DUPLICATE", 50) and got[4] == ("NEAR_DUPLICATE", 50) and got[5] == ("EXACT_DUPLICATE", 50) and got[6][0] == "UNIQUE"
+
+
 def test_enrichment(spark):
     docs = spark.createDataFrame([(1, "Repairs welcomed by the Water Board in Vondlar, £40m spent. Repairs welcomed."), (2, "  "), (3, None), (4, "Strike delayed and cancelled, crisis in Vondlar")], "article_id long, content_clean string")
     s = {r.article_id: (r.sentiment, r.sentiment_score) for r in enrich.score_sentiment(docs).collect()}
