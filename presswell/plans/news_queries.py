@@ -307,7 +307,7 @@ def confusion_matrix(spark, folder):
 
 
 def loco_predictions(spark, folder):
-    return leave_one_event_out(_weekly(spark, folder), trees=20, depth=8)
+    return leave_one_event_out(_weekly(spark, folder))
 
 
 def lead_time(spark, folder):
@@ -315,6 +315,10 @@ def lead_time(spark, folder):
     return lead_times(rows, read_table(spark, folder, "crisis_events"), 0.5, "proxy")
 
 
+def lead_time_forest(spark, folder):
+    return lead_times(loco_predictions(spark, folder), read_table(spark, folder, "crisis_events"))
+
+
 def sentiment_pivot_ratio(spark, folder):
     return explore.pivot_ratio(_articles(spark, folder), "publication_week", "sentiment", ["negative", "neutral", "positive"])
 
@@ -425,7 +429,7 @@ QUERIES = {
         near_duplicates_greedy, duplicate_status, duplicate_preview, existing_hashes, same_day_articles, unprocessed_ids, needing_enrichment,
         upsert_latest_wins, new_links, stage_log, sentiment_lexicon, signed_sentiment_daily, entities_pattern, keywords_tfidf_topn, keywords_diverse,
         topic_assign_nearest_centroid, topic_fit, topic_words_ctfidf, topic_rename, binary_metrics, fold_averages, multiclass_metrics,
-        confusion_matrix, loco_predictions, lead_time, sentiment_pivot_ratio, topic_share, top_keywords_scored, date_pattern_counts,
+        confusion_matrix, loco_predictions, lead_time, lead_time_forest, sentiment_pivot_ratio, topic_share, top_keywords_scored, date_pattern_counts,
         date_format_exceptions, weekday_counts, weeks_with_fewest, null_empty_checks, length_stats, length_histogram, date_span,
         examples_per_source, fold_label_counts, sample_for_labelling, weekly_event_windows, strip_html_parsed, raw_lookup, panel_scan,
         events_scan, topic_corpus, ml_weeks, entity_dataset, entity_weeks, sentiment_by_topic,

@@ -99,6 +99,24 @@ def test_leave_one_event_out(spark):
         leave_one_event_out(panel.where("crisis_event = 1"))
 
 
+def test_queries_fit_the_whole_forest(spark, monkeypatch):
+    from presswell.plans import news_queries
+
+    asked = []
+
+    def fit(panel, *args, **options):
+        asked.append((args, options))
+        return spark.createDataFrame([("2025-W02", 1, "random_forest", 1, 0.9)], "week string, crisis_event int, model string, true_label int, predicted_proba double")
+
+    events = spark.createDataFrame([(1, "E", date(2025, 1, 20))], "event_id int, event_name string, start_date date")
+    monkeypatch.setattr(news_queries, "leave_one_event_out", fit)
+    monkeypatch.setattr(news_queries, "_weekly", lambda *_: None)
+    monkeypatch.setattr(news_queries, "read_table", lambda *_: events)
+    assert news_queries.QUERIES["loco_predictions"](spark, "").count() == 1
+    assert [tuple(r) for r in news_queries.QUERIES["lead_time_forest"](spark, "").collect()] == [(1, "E", "2025-W02", 14)]
+    assert asked == [((), {})] * 2
+
+
 def test_summaries(spark):
     df = spark.createDataFrame([(1, "a", ""), (2, "a", None), (3, "b", "x"), (4, None, "y")], "id long, k string, v string")
     assert {tuple(r) for r in explore.null_and_empty(df, ["k", "v"]).collect()} == {("k", 1, 0), ("v", 1, 1)}
