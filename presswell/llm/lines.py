@@ -65,7 +65,7 @@ def masked_tokens(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for i, w in enumerate(unique):
         core = w.strip(".,;:!?\"'“”‘’()[]|–—-") or w
         low = xxhash.xxh3_64_intdigest(core.lower())
-        if _LINK.search(w):
+        if _LINK.search(w.lower()):
             low = made = _LINK_MARK
         elif any(c.isdigit() for c in w):
             low = made = _NUMBER_MARK

@@ -62,6 +62,11 @@ def test_lines_equal_brute_force(spark, nasty):
     assert lines.repeated_lines(df.limit(0))[0].count() == 0
 
 
+def test_links_in_two_cases_share_the_plain_hashes():
+    line, _, plain = lines.masked_tokens(["Read more at www.site.com or site.ORG today", "READ MORE AT WWW.SITE.COM OR SITE.org TODAY"])
+    assert list(plain[line == 0]) == list(plain[line == 1])
+
+
 def test_lines_apart_from_names_and_numbers_cluster(spark):
     names = ["Wokklo Laxwaem", "Selgra Fevrul", "Miseir Nourtsir", "Kusmos Drouspel", "Zeisthak Livzek", "Thukgund Dahl"]
     docs = [(i, "a.example", f"unique words {chr(97 + i) * 5} here {chr(98 + i) * 4}\nReported by {n}, our bureau at {i}:30 today") for i, n in enumerate(names)]
