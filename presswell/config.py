@@ -8,7 +8,7 @@ ANOMALY_WINDOW = 8
 NEAR_DUPLICATE_COSINE = 0.85
 MAX_DAY_TERMS = 2000
 ENTITY_MAX_CHARS = 255
-PIPELINE_VERSION = "1.0"
+PIPELINE_VERSION = "0.1.0"
 
 # Patterns of site furniture that is taken out of texts.
 BOILERPLATE = [

@@ -37,18 +37,22 @@ def date_columns(raw: str) -> dict[str, Column]:
     }
 
 
+# Names and patterns of the spellings of raw dates; the first that fits counts.
+DATE_PATTERNS = [
+    ("ISO_DATE (YYYY-MM-DD...)", r"(?d)^[0-9]{4}-[0-9]{2}-[0-9]{2}.*$"),
+    ("N hours ago", r"(?iU)^[0-9]+\s+hours?\s+ago$"),
+    ("N days ago", r"(?iU)^[0-9]+\s+days?\s+ago$"),
+    ("N minutes ago", r"(?iU)^[0-9]+\s+minutes?\s+ago$"),
+    ("Yesterday/Today keyword", r"(?i)^(yesterday|today)$"),
+    ("Month DD, YYYY", r"(?U)^[A-Za-z]+\s+[0-9]{1,2},?\s+[0-9]{4}$"),
+    ("EMPTY/NULL", r"(?i)^(none|nan)?$"),
+]
+
+
 def date_pattern(raw: Column) -> Column:
-    """The kind of spelling of a raw date; the first that fits."""
-    kinds = [
-        ("YYYY-MM-DD", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"),
-        ("DD/MM/YYYY", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
-        ("DD-MM-YYYY", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
-        ("DD Mon YYYY", r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$"),
-        ("DD Month YYYY", r"^[0-9]{1,2} [A-Za-z]{4,} [0-9]{4}$"),
-        ("Month DD, YYYY", r"^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$"),
-        ("DIGITS", r"^[0-9]+$"),
-    ]
-    out = F.when(raw.isNull(), "NULL").when(raw == "", "EMPTY")
-    for name, pattern in kinds:
-        out = out.when(raw.rlike(pattern), name)
-    return out.otherwise("OTHER")
+    """The kind of spelling of a raw date without white space around it; NULL counts as empty."""
+    text = strip(raw)
+    out = F.when(raw.isNull(), "EMPTY/NULL")
+    for name, pattern in DATE_PATTERNS:
+        out = out.when(text.rlike(pattern), name)
+    return out.otherwise("OTHER/UNRECOGNIZED")

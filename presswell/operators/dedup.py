@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from presswell.config import MAX_DAY_TERMS, NEAR_DUPLICATE_COSINE, STOPWORDS
 from presswell.functions.text import content_hash, tokens
+from presswell.operators.lookup import looked_up
 from presswell.session import materialize
 
 
@@ -14,12 +15,14 @@ def mark_first_seen(rows: DataFrame, column: str) -> DataFrame:
     """Rows that are still UNIQUE and share ``column`` with one of a smaller id become EXACT_DUPLICATE of the least such id.
 
     NULL and '' never match. The least id comes from an aggregate with partial
-    counts, so a value that very many rows share is no hot window.
+    counts, of which only values that occur more than once are kept and looked
+    up, so a value that very many rows share fills neither a window nor a task.
     """
     usable = (F.col("duplicate_status") == "UNIQUE") & F.col(column).isNotNull() & (F.col(column) != "")
-    first = rows.where(usable).groupBy(column).agg(F.min("article_id").alias("__first"))
+    first = rows.where(usable).groupBy(column).agg(F.min("article_id").alias("__first"), F.count("*").alias("__n"))
+    first = materialize(first.where("__n > 1").drop("__n"), "shared")
     hit = usable & (F.col("__first") < F.col("article_id"))
-    return rows.join(first, column, "left").select(
+    return looked_up(rows, first, [column], "left").select(
         *(c for c in rows.columns if c not in ("duplicate_status", "duplicate_of")),
         F.when(hit, "EXACT_DUPLICATE").otherwise(F.col("duplicate_status")).alias("duplicate_status"),
         F.when(hit, F.col("__first")).otherwise(F.col("duplicate_of")).alias("duplicate_of"),
@@ -133,7 +136,9 @@ def check_new(new: DataFrame, known: DataFrame, threshold: float = NEAR_DUPLICAT
         if column not in hashed.columns or column not in known.columns:
             continue
         mine = hashed.where(F.col(column).isNotNull() & (F.col(column) != "")).select("article_id", column)
-        hit = mine.join(before.select(column, F.col("article_id").alias("__id"), F.col("duplicate_of").alias("__of")), column).where(apart).select("article_id", "__id")
+        # of known articles only those with a new one's value, and of these one per value and original
+        met = before.join(mine.select(column).distinct(), column, "left_semi").groupBy(column, F.col("duplicate_of").alias("__of")).agg(F.min("article_id").alias("__id"))
+        hit = mine.join(met, column).where(apart).select("article_id", "__id")
         if within:
             least = mine.groupBy(column).agg(F.min("article_id").alias("__id"))
             hit = hit.unionByName(mine.join(least, column).where("__id < article_id").select("article_id", "__id"))

@@ -173,8 +173,12 @@ m AS (SELECT k, count(*) FILTER (label = 0 AND score < 0.5) AS tn, count(*) FILT
     sum(CASE WHEN label = 1 THEN avg_rank END) AS ranks, sum(CASE WHEN label = 1 THEN r.tp / seen END) AS ap FROM r GROUP BY k),
 b AS (SELECT k, tn, fp, fn, tp, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0) AS f1,
     CASE WHEN ps > 0 AND ns > 0 THEN (ranks - ps * (ps + 1) / 2) / ps / ns END AS roc_auc, CASE WHEN ps > 0 AND ns > 0 THEN ap / ps END AS pr_auc FROM m)"""
-    kinds = [("YYYY-MM-DD", "^[0-9]{4}-[0-9]{2}-[0-9]{2}"), ("DD/MM/YYYY", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), ("DD-MM-YYYY", "^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"), ("DD Mon YYYY", "^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$"), ("DD Month YYYY", "^[0-9]{1,2} [A-Za-z]{4,} [0-9]{4}$"), ("Month DD, YYYY", "^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$"), ("DIGITS", "^[0-9]+$")]
-    pattern = "CASE WHEN date IS NULL THEN 'NULL' WHEN date = '' THEN 'EMPTY' " + " ".join(f"WHEN regexp_matches(date, '{p}') THEN '{n}'" for n, p in kinds) + " ELSE 'OTHER' END"
+    spelling = f"regexp_replace(date, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    pattern = f"""CASE WHEN regexp_full_match({spelling}, '\\d{{4}}-\\d{{2}}-\\d{{2}}.*') THEN 'ISO_DATE (YYYY-MM-DD...)'
+  WHEN regexp_full_match({spelling}, '(?i)\\d+\\s+hours?\\s+ago') THEN 'N hours ago' WHEN regexp_full_match({spelling}, '(?i)\\d+\\s+days?\\s+ago') THEN 'N days ago'
+  WHEN regexp_full_match({spelling}, '(?i)\\d+\\s+minutes?\\s+ago') THEN 'N minutes ago' WHEN lower({spelling}) IN ('yesterday', 'today') THEN 'Yesterday/Today keyword'
+  WHEN regexp_full_match({spelling}, '[A-Za-z]+\\s+\\d{{1,2}},?\\s+\\d{{4}}') THEN 'Month DD, YYYY'
+  WHEN date IS NULL OR lower({spelling}) IN ('', 'none', 'nan') THEN 'EMPTY/NULL' ELSE 'OTHER/UNRECOGNIZED' END"""
     classes = """c AS (SELECT 'negative' AS label UNION ALL SELECT 'neutral' UNION ALL SELECT 'positive'),
 x AS (SELECT c.label, count(*) FILTER (truth = c.label AND guess = c.label) AS tp, count(*) FILTER (guess = c.label) AS called, count(*) FILTER (truth = c.label) AS support FROM g, c GROUP BY c.label),
 y AS (SELECT label, coalesce(tp / nullif(called, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall, coalesce(2 * tp / nullif(called + support, 0), 0.0) AS f1, CAST(support AS BIGINT) AS support, tp FROM x)"""

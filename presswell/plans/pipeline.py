@@ -76,12 +76,18 @@ def process_existing(raw: DataFrame, processed: DataFrame) -> tuple[DataFrame, D
     return upsert(processed, full.select(*_columns(raw.sparkSession)), ["article_id"]), stage_log(full)
 
 
-def process_new(new: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same for a few new articles, each judged against everything processed before."""
+def new_rows(new: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows for the processed table, log rows) of new articles, each judged against everything processed before."""
     rows = materialize(cleaned(new), "cleaned")
     marks = check_new(rows.where("is_valid").select("article_id", "content_clean", "publication_date"), _known(processed))
     full = materialize(_finish(rows, marks), "processed")
-    return upsert(processed, full.select(*_columns(new.sparkSession)), ["article_id"]), stage_log(full)
+    return full.select(*_columns(new.sparkSession)), stage_log(full)
+
+
+def process_new(new: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(processed table after the run, log rows) of new articles."""
+    rows, log = new_rows(new, processed)
+    return upsert(processed, rows, ["article_id"]), log
 
 
 def enrich(processed: DataFrame, sentiment: DataFrame, keywords: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

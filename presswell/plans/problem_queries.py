@@ -7,6 +7,7 @@ from presswell.plans import incremental, rolling
 QUERIES = {
     "p1_found": incremental.p1_found,
     "p1_delivered": incremental.p1_delivered,
+    "p1_runs": incremental.p1_runs,
     "p4_found": rolling.p4_found,
     "p4_weekly": rolling.p4_weekly,
     "p4_entities": rolling.p4_entities,
@@ -28,6 +29,23 @@ WHERE done.article_id IS NULL OR done.processing_status IS DISTINCT FROM 'COMPLE
    OR raw.date IS DISTINCT FROM done.date_raw
 """
 
+_P1_RUNS = """
+WITH raw AS (
+  SELECT id, title, content, date,
+    row_number() OVER (PARTITION BY id ORDER BY scraped_at NULLS FIRST) AS a, row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC NULLS LAST) AS z
+  FROM scraped_news WHERE id IS NOT NULL),
+f AS (SELECT * FROM raw WHERE a = 1), n AS (SELECT * FROM raw WHERE z = 1),
+done AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY processing_timestamp DESC NULLS LAST) AS r FROM processed_news) WHERE r = 1)
+SELECT f.id AS article_id, 1 AS run, CAST(1 AS BIGINT) AS deliveries FROM f LEFT JOIN done ON f.id = done.article_id
+WHERE done.article_id IS NULL OR done.processing_status IS DISTINCT FROM 'COMPLETED'
+   OR f.title IS DISTINCT FROM done.title_original OR f.content IS DISTINCT FROM done.content_original OR f.date IS DISTINCT FROM done.date_raw
+UNION ALL
+SELECT n.id, 2, CAST(1 AS BIGINT) FROM n JOIN f USING (id)
+WHERE n.title IS DISTINCT FROM f.title OR n.content IS DISTINCT FROM f.content OR n.date IS DISTINCT FROM f.date
+"""
+
 _P4 = """
 WITH cur AS (
   SELECT series, week, article_count, ma_4week, ma_8week,
@@ -47,6 +65,7 @@ sums AS (
 ORACLE = {
     "p1_found": _P1.format(extra=""),
     "p1_delivered": _P1.format(extra=", CAST(1 AS BIGINT) AS deliveries"),
+    "p1_runs": _P1_RUNS,
     "p4_found": _P4
     + """
 SELECT series, strftime(monday, '%G-W%V') AS week FROM sums

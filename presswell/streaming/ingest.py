@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from presswell.operators.store import swap_table
-from presswell.plans.pipeline import PROCESSED, RAW_SCHEMA, process_new
+from presswell.operators.store import VersionedTable
+from presswell.plans.pipeline import PROCESSED, RAW_SCHEMA, new_rows
 
 
 def read_articles(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -17,21 +17,25 @@ def read_articles(spark: SparkSession, folder: str, files_per_batch: int = 100)
     return spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
+def processed_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The processed articles at ``path``, by article."""
+    return VersionedTable(spark, path, PROCESSED, ["article_id"])
+
+
 def process_stream(articles: DataFrame, table: str, checkpoint: str, log: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Keep the processed table at ``table`` up to date with a stream of raw articles.
+    """Keep the processed table at ``table`` (see ``processed_table``) up to date with a stream of raw articles.
 
-    Each micro-batch is judged against the table and replaces its rows by key,
-    so a batch that is run again after a failure changes nothing more.
+    Each micro-batch is judged against the table and adds its own rows, which
+    replace those of the same articles; the rest of the table is not written
+    again. A batch's number is committed with its rows, so one that is run
+    again after a failure is left out, and a crash between any two steps
+    leaves the table of the batch before.
     """
 
-    def step(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.dropDuplicates(["id"])
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(table)
-        known = spark.read.schema(PROCESSED).parquet(table) if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path) else spark.createDataFrame([], PROCESSED)
-        rows, logged = process_new(batch, known)
-        swap_table(spark, rows, table)
+    def step(batch: DataFrame, number: int) -> None:
+        target = processed_table(batch.sparkSession, table)
+        rows, logged = new_rows(batch.dropDuplicates(["id"]), target.read())
+        target.upsert(rows, number)
         if log:
             log(logged)
 

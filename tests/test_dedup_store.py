@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presswell.operators.current import newest_rows, newest_values
 from presswell.operators.dedup import assign_duplicates, check_new, greedy_marks, near_pairs, shared_values
-from presswell.operators.store import append_new_links, needing, stage_log, swap_table, unprocessed, upsert
+from presswell.operators.store import VersionedTable, append_new_links, needing, stage_log, unprocessed, upsert
 
 ARTICLES = "article_id long, content_clean string, link string, publication_date date"
 DAY, OTHER = date(2026, 4, 1), date(2026, 4, 2)
@@ -98,10 +98,6 @@ def test_upsert_scans_links_and_log(spark, tmp_path):
     new = spark.createDataFrame([(2, "c"), (3, "d"), (3, "d")], "id long, v string")
     got = sorted(tuple(r) for r in upsert(old, new, ["id"]).collect())
     assert got == [(1, "a", 5), (2, "c", None), (3, "d", None)]
-    path = str(tmp_path / "t")
-    swap_table(spark, old, path)
-    swap_table(spark, upsert(spark.read.parquet(path), new, ["id"]), path)
-    assert spark.read.parquet(path).count() == 3
     raw = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     done = spark.createDataFrame([(1, "COMPLETED"), (2, "FAILED")], "article_id long, processing_status string")
     assert sorted(r.id for r in unprocessed(raw, done).collect()) == [2, 3]
@@ -113,3 +109,64 @@ def test_upsert_scans_links_and_log(spark, tmp_path):
     log = [(r.article_id, r.stage, r.status, r.message) for r in stage_log(rows).orderBy("article_id", "step").collect()]
     assert log == [(1, "VALIDATION", "SUCCESS", ""), (1, "DATE_NORMALIZATION", "FAILED", "raw='bad'"), (1, "CLEANING", "SUCCESS", ""), (1, "DEDUPLICATION", "SUCCESS", "UNIQUE"), (2, "VALIDATION", "FAILED", "EMPTY_TITLE")]
     assert shared_values(found, "link").count() == 2
+
+
+def test_versioned_table(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "id long, v string", ["id"], compact_every=2)
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, v string")
+    read = lambda: sorted(tuple(r) for r in table.read().collect())
+    assert read() == []
+    table.upsert(rows((1, "a"), (2, "b")), 0)
+    table.upsert(rows((2, "c"), (3, "d")), 1)
+    table.upsert(rows((9, "again")), 1)  # a batch that was committed before
+    assert read() == [(1, "a"), (2, "c"), (3, "d")]
+    table.upsert(rows((1, "e")), 2)  # compacts
+    assert len(table.log.latest()[1]["base"]) == 1 and table.log.latest()[1]["changes"] == []
+    table.replace(table.read().where("id > 1"))
+    table.upsert(rows((4, None)))
+    assert read() == [(2, "c"), (3, "d"), (4, None)]
+    assert sorted(tuple(r) for r in VersionedTable(spark, str(tmp_path / "t"), "id long, v string", ["id"]).read().collect()) == read()
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_table_survives_a_death_at_any_step(spark, tmp_path, monkeypatch, after):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from presswell.sources.commits import Files
+
+    table = VersionedTable(spark, str(tmp_path / "t"), "id long, v string", ["id"], compact_every=1, keep=2)
+    table.replace(spark.range(1000).selectExpr("id", "'old' AS v"))
+    for owner, name in ((DataFrameWriter, "parquet"), (Files, "publish")):
+        whole = getattr(owner, name)
+
+        def dying(self, *args, **options):
+            if after:
+                whole(self, *args, **options)
+            raise KeyboardInterrupt
+
+        for change in (lambda: table.replace(spark.createDataFrame([(1, "new")], "id long, v string")), lambda: table.upsert(spark.createDataFrame([(1, "new")], "id long, v string"))):
+            monkeypatch.setattr(owner, name, dying)
+            with pytest.raises(KeyboardInterrupt):
+                change()
+            monkeypatch.setattr(owner, name, whole)
+            found = VersionedTable(spark, str(tmp_path / "t"), "id long, v string", ["id"]).read().count()
+            assert found == 1000 or (after and name == "publish" and found == 1)
+            table.replace(spark.range(1000).selectExpr("id", "'old' AS v"))
+
+
+def test_lookup_spreads_a_hot_key(spark):
+    from presswell.operators.lookup import looked_up
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else "k%d" % i) for i in range(60)] + [(99, None)], "id long, k string")
+    table = spark.createDataFrame([("hot", 1), ("k3", 2)], "k string, v int")
+    for most in (0, 10):
+        got = {r.id: r.v for r in looked_up(rows, table, ["k"], "left", most=most).collect()}
+        assert len(got) == 61 and got[1] == 1 and got[3] == 2 and got[6] is None and got[99] is None
+        assert looked_up(rows, table, ["k"], "left_semi", most=most).count() == 41
+        assert looked_up(rows, table, ["k"], "left_anti", most=most).count() == 20
+
+
+def test_hot_values_are_marked(spark):
+    rows = [(i, f"text {i}", "same link" if i else None, None) for i in range(40)]
+    got = status(spark, rows)
+    assert got[0] == ("UNIQUE", None) and got[1] == ("UNIQUE", None) and all(got[i] == ("EXACT_DUPLICATE", 1) for i in range(2, 40))

@@ -53,21 +53,130 @@ def test_new_changed_and_unfinished_once(spark, ledger):
     assert ids(ledger.pending()) == [1]
 
 
+def written(ledger):
+    found = ledger.outputs()
+    return [] if found is None else sorted((r.item_id, r.version) for r in found.collect())
+
+
 def test_expired_lease_and_stale_writer(spark, ledger, clock):
     ledger.sync(items(spark, (1, 1), (2, 2)), items(spark))
     slow = ledger.lease(60)
-    ledger.write_output(slow, ledger.leased(slow).select("item_id"))
+    ledger.write_output(slow, ledger.leased(slow))
     clock.later(61)
     assert ids(ledger.pending()) == [1, 2]
     quick = ledger.lease(60)
-    ledger.write_output(quick, ledger.leased(quick).select("item_id"))
-    ledger.write_output(quick, ledger.leased(quick).select("item_id"))  # a retry
-    with pytest.raises(StaleLease):
-        ledger.complete(slow)
+    ledger.write_output(quick, ledger.leased(quick))
+    ledger.write_output(quick, ledger.leased(quick))  # a retry
+    for late in (lambda: ledger.complete(slow), lambda: ledger.write_output(slow, items(spark, (1, 1)))):
+        with pytest.raises(StaleLease):
+            late()
     ledger.complete(quick)
-    with pytest.raises(StaleLease):
-        ledger.complete(quick)
-    assert ids(ledger.outputs().select("item_id")) == [1, 2]
+    for late in (lambda: ledger.complete(quick), lambda: ledger.write_output(quick, items(spark, (1, 1)))):
+        with pytest.raises(StaleLease):
+            late()
+    assert written(ledger) == [(1, 1), (2, 2)]
+    with pytest.raises(ValueError):
+        ledger.write_output(quick, spark.createDataFrame([(1,)], "id long"))
+
+
+def test_changed_item_is_delivered_in_its_last_version_only(spark, ledger):
+    source = [(1, 10), (2, 20)]
+    for version in (10, 11):
+        ledger.sync(items(spark, (1, version), (2, 20)), items(spark))
+        if version == 11:
+            assert written(ledger) == source  # pending again: the old version is still the last one done
+        token = ledger.lease(60)
+        ledger.write_output(token, ledger.leased(token))
+        ledger.complete(token)
+        assert written(ledger) == [(1, version), (2, 20)]
+    assert [(r.item_id, r.version) for r in ledger.output_of(token).collect()] == [(1, 11)]
+    assert ledger.output_of(9999) is None
+
+
+def test_item_changed_while_leased_comes_from_the_later_lease(spark, ledger):
+    ledger.sync(items(spark, (1, 10), (2, 20)), items(spark))
+    first = ledger.lease(60)
+    ledger.write_output(first, ledger.leased(first))
+    ledger.sync(items(spark, (1, 11), (2, 20)), items(spark))
+    ledger.complete(first)
+    assert written(ledger) == [(2, 20)] and ids(ledger.pending()) == [1]
+    second = ledger.lease(60)
+    ledger.write_output(second, ledger.leased(second))
+    ledger.complete(second)
+    assert written(ledger) == [(1, 11), (2, 20)]
+
+
+def test_lease_taken_over_in_part(spark, ledger, clock):
+    ledger.sync(items(spark, (1, 10), (2, 20), (3, 30)), items(spark))
+    slow = ledger.lease(60)
+    ledger.write_output(slow, ledger.leased(slow))
+    clock.later(61)
+    part = ledger.lease(60, part=F.col("item_id") == 1)
+    ledger.write_output(part, ledger.leased(part))
+    ledger.complete(part)
+    assert written(ledger) == [(1, 10)]
+    ledger.complete(slow)
+    assert written(ledger) == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_adopted_items_are_done(spark, ledger):
+    ledger.adopt(items(spark, (1, 10), (2, 20), (None, 3)))
+    ledger.sync(items(spark, (1, 10), (2, 21), (3, 30)))
+    ledger.adopt(items(spark, (1, 10)))
+    assert ids(ledger.pending()) == [2, 3] and ledger.outputs() is None
+
+
+STEPS = ["publish", "rename", "delete", "changed"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("after", [False, True])
+def test_death_between_any_two_file_operations(spark, tmp_path, clock, step, after, monkeypatch):
+    """A worker dies before or after each of its file operations in turn; a later one must deliver every item once."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from presswell.sources.commits import Files
+
+    class Died(Exception):
+        pass
+
+    owner, name = (DataFrameWriter, "parquet") if step == "changed" else (Files, step)
+    whole = getattr(owner, name)
+    left = [0]
+
+    def dying(self, *args, **options):
+        left[0] -= 1
+        if left[0] == 0 and not after:
+            raise Died
+        out = whole(self, *args, **options)
+        if left[0] == 0:
+            raise Died
+        return out
+
+    monkeypatch.setattr(owner, name, dying)
+    source = items(spark, (1, 10), (2, 20))
+    for nth in range(1, 6):
+        path, died = f"{tmp_path}/{nth}", False
+        left[0] = nth
+        try:
+            run = WorkLedger(spark, path, clock=clock)  # a path without a scheme
+            run.sync(source)
+            token = run.lease(60)
+            run.write_output(token, run.leased(token))
+            run.complete(token)
+        except Died:
+            died = True
+        left[0] = 0
+        clock.later(61)
+        again = WorkLedger(spark, path, clock=clock)
+        again.sync(source)
+        token = again.lease(60)
+        if not again.leased(token).isEmpty():
+            again.write_output(token, again.leased(token))
+            again.complete(token)
+        assert written(again) == [(1, 10), (2, 20)] and ids(again.pending()) == []
+        if not died:
+            break
 
 
 def test_release_part_and_compaction(spark, ledger):
@@ -80,19 +189,38 @@ def test_release_part_and_compaction(spark, ledger):
     assert ids(ledger.leased(token)) == [0, 1, 2, 3, 4] and ids(ledger.pending()) == [5, 6, 7, 8, 9]
 
 
-def test_two_writers_race_for_a_commit(spark, tmp_path, clock):
-    a, b = (WorkLedger(spark, f"file://{tmp_path}/l", clock=clock) for _ in range(2))
-    a.sync(items(spark, (1, 1)), items(spark))
-    assert a._publish(2, "part nowhere") and not b._publish(2, "part elsewhere")
+def test_old_commits_are_purged(spark, tmp_path, clock):
+    ledger = WorkLedger(spark, f"{tmp_path}/p", clock=clock, compact_every=2, keep=3)
+    ledger.sync(items(spark, (1, 1)), items(spark))
+    for _ in range(4):
+        ledger.release(ledger.lease(60))
+    assert ids(ledger.pending()) == [1] and len(ledger.log.numbers()) <= 5
+    assert len(ledger.files.list("changes")) <= 7
+    assert not ledger.log.publish(2, {"folders": []}) and 2 not in ledger.log.numbers()  # a writer that was asleep since
 
 
 def test_one_of_many_racing_writers_wins(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
-    ledger = WorkLedger(spark, f"file://{tmp_path}/r")
+    log = WorkLedger(spark, f"file://{tmp_path}/r").log
     with ThreadPoolExecutor(8) as pool:
-        won = list(pool.map(lambda i: ledger._publish(1, f"part writer-{i}"), range(16)))
-    assert sum(won) == 1 and ledger._commits() == [(1, f"writer-{won.index(True)}")]
+        won = list(pool.map(lambda i: log.publish(1, {"folders": [f"writer-{i}"]}), range(16)))
+    assert sum(won) == 1 and log.latest() == (1, {"folders": [f"writer-{won.index(True)}"]})
+
+
+def test_two_ledgers_race(spark, tmp_path, clock):
+    a, b = (WorkLedger(spark, f"{tmp_path}/two", clock=clock) for _ in range(2))
+    a.sync(items(spark, (1, 1), (2, 2)), items(spark))
+    real = a.log.publish
+
+    def late(number, manifest):
+        a.log.publish = real
+        b.lease(60, part=F.col("item_id") == 1)  # takes the number between a's reading and a's writing
+        return real(number, manifest)
+
+    a.log.publish = late
+    token = a.lease(60)
+    assert ids(a.leased(token)) == [2]
 
 
 def test_versions_and_nulls(spark):

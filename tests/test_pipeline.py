@@ -9,7 +9,7 @@ from presswell.operators import enrich, explore, topics
 from presswell.operators.ml import leave_one_event_out, ml_dataset
 from presswell.plans.pipeline import PROCESSED, enrich as enrich_all, full_panel, process_existing, process_new
 from presswell.sources.tables import read_csv, read_name_map, read_sql_script
-from presswell.streaming.ingest import process_stream, read_articles, weekly_events
+from presswell.streaming.ingest import process_stream, processed_table, read_articles, weekly_events
 
 RAW = "id long, title string, content string, date string, link string"
 BODY = "The northern port reopened on Monday after fuel tankers were delayed for weeks by a strike. "
@@ -142,11 +142,11 @@ def test_stream(spark, tmp_path):
     line = lambda i, c: json.dumps({"id": i, "title": "T", "content": c, "date": "01 Apr 2026", "link": f"l{i}"})
     (folder / "1.json").write_text(line(1, BODY + "One.") + "\n" + line(1, BODY + "One.") + "\n")
     process_stream(read_articles(spark, str(folder)), table, str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(table).count() == 1
+    assert processed_table(spark, table).read().count() == 1
     time.sleep(0.1)
     (folder / "2.json").write_text(line(2, BODY + "One.") + "\n" + line(3, "x"))
     process_stream(read_articles(spark, str(folder)), table, str(tmp_path / "cp")).awaitTermination(120)
-    got = {r.article_id: (r.processing_status, r.duplicate_status) for r in spark.read.parquet(table).collect()}
+    got = {r.article_id: (r.processing_status, r.duplicate_status) for r in processed_table(spark, table).read().collect()}
     assert got == {1: ("COMPLETED", "UNIQUE"), 2: ("COMPLETED", "EXACT_DUPLICATE"), 3: ("FAILED", None)}
     from datetime import datetime
 

@@ -83,3 +83,15 @@ def test_scores(spark):
     assert got[0] == pytest.approx(0.5**0.5) and got[1] is None
     names = spark.createDataFrame([(-1, ["a"]), (2, []), (3, ["a", "b", "c", "d"])], "t int, w array<string>").select(topic_name(F.col("t"), F.col("w")).alias("n"))
     assert [r.n for r in names.collect()] == ["outlier_uncategorized", "topic_2", "a_b_c"]
+
+
+@pytest.mark.parametrize("raw,kind", [
+    ("2026-04-01", "ISO_DATE (YYYY-MM-DD...)"), (" 2026-04-01T10:00 ", "ISO_DATE (YYYY-MM-DD...)"), ("1 hour ago", "N hours ago"), ("12 HOURS ago", "N hours ago"),
+    ("3 days ago", "N days ago"), ("1 minute ago", "N minutes ago"), ("Yesterday", "Yesterday/Today keyword"), (" today ", "Yesterday/Today keyword"), ("April 1, 2026", "Month DD, YYYY"),
+    ("Apr 01 2026", "Month DD, YYYY"), ("", "EMPTY/NULL"), ("  ", "EMPTY/NULL"), (None, "EMPTY/NULL"), ("None", "EMPTY/NULL"), ("nan", "EMPTY/NULL"),
+    ("01 Apr 2026", "OTHER/UNRECOGNIZED"), ("01/04/2026", "OTHER/UNRECOGNIZED"), ("3 weeks ago", "OTHER/UNRECOGNIZED"), ("2026-4-1", "OTHER/UNRECOGNIZED"),
+])
+def test_date_patterns(spark, raw, kind):
+    from presswell.functions.dates import date_pattern
+
+    assert spark.createDataFrame([(raw,)], "d string").select(date_pattern(F.col("d")).alias("k")).first().k == kind
