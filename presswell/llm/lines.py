@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswell.llm.components import connected_components
-from presswell.llm.hashforest import _small
 from presswell.llm.neardup import chunks
 from presswell.llm.shingles import mix
+from presswell.operators.lookup import looked_up, small
 from presswell.session import materialize
 
 #: Bands of masked lines, then bands of lines whose names are left as they are, in

@@ -72,19 +72,21 @@ def parity_bitmaps(offsets: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
     return [_fold(np.where(bit // _U(64) == k, one, _U(0)), offsets, np.bitwise_xor) for k in range(BITMAP)]
 
 
+def profile_columns(offsets: np.ndarray, tokens: np.ndarray) -> dict[str, np.ndarray]:
+    """n, set_hash, bits0.. of a batch of shingle sets: size, a hash of the set and its parity bitmap."""
+    n = np.diff(offsets)
+    total = np.add(_fold(mix(tokens), offsets, np.add), _fold(mix(tokens ^ _U(77)), offsets, np.bitwise_xor) * _U(3))
+    out = {"n": n.astype(np.int32), "set_hash": mix(total + n.astype(np.uint64)).view(np.int64)}
+    return out | {f"bits{k}": words.view(np.int64) for k, words in enumerate(parity_bitmaps(offsets, tokens))}
+
+
 def profiles(texts: DataFrame, width: int) -> DataFrame:
-    """(doc, text, n, set_hash, bits0..): size, a hash of the shingle set and its parity bitmap."""
+    """(doc, text, n, set_hash, bits0..) of every row, by ``profile_columns``."""
     schema = "doc long, text string, n int, set_hash long, " + ", ".join(f"bits{k} long" for k in range(BITMAP))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(frames, "text"):
-            offsets, tokens = shingle_batch(frame["text"], width)
-            out = {"doc": frame["doc"].to_numpy(), "text": frame["text"].to_numpy(), "n": np.diff(offsets).astype(np.int32)}
-            total = np.add(_fold(mix(tokens), offsets, np.add), _fold(mix(tokens ^ _U(77)), offsets, np.bitwise_xor) * _U(3))
-            out["set_hash"] = mix(total + np.diff(offsets).astype(np.uint64)).view(np.int64)
-            for k, words in enumerate(parity_bitmaps(offsets, tokens)):
-                out[f"bits{k}"] = words.view(np.int64)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({"doc": frame["doc"].to_numpy(), "text": frame["text"].to_numpy(), **profile_columns(*shingle_batch(frame["text"], width))})
 
     return texts.select("doc", "text").mapInPandas(run, schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswell.llm import encoding, lines, mixing, news, truncation
-from presswell.llm.hashforest import batch_duplicates
+from presswell.llm.hashforest import batch_duplicates, batch_links
 from presswell.llm.leaks import leaks
 from presswell.llm.neardup import near_duplicate_groups
 from presswell.llm.oracle import ORACLE
@@ -25,6 +25,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return batch_duplicates(news.completed_texts(spark, folder).select("doc", "text"), batches, threshold=0.6, width=3)
 
 
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Each incoming article's class of equal texts and how many other classes it is similar to."""
+    batches = read_table(spark, folder, "news_batches").select("batch_no", F.col("article_id").alias("doc"), F.col("content_clean").alias("text"))
+    links = batch_links(news.completed_texts(spark, folder).select("doc", "text"), batches, threshold=0.6, width=3)
+    return links.withColumnRenamed("doc", "article_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     groups = near_duplicate_groups(news.completed_texts(spark, folder).select("doc", "text"), threshold=0.6, width=3)
     return groups.where("group_id < doc").select("group_id", F.col("doc").alias("article_id"))
@@ -167,6 +174,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_links": p2_links,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswell.llm.components import connected_components
-from presswell.llm.hashforest import DEPTH, HashForest, batch_duplicates, entries, recall, signature_keys
+from presswell.llm.hashforest import BITS, DEPTH, HashForest, batch_duplicates, batch_links, recall, signature_nodes, similar_classes
 from presswell.llm.neardup import TIERS, _buckets, _postings, frequent_tokens, near_duplicate_groups, near_duplicate_links, parity_bitmaps, prefix_keys, profiles
 from presswell.llm.shingles import WORD, shingle_batch, similarity
 
@@ -195,26 +195,88 @@ def test_batches_against_all_before(spark):
     assert got == want and want
 
 
-def test_forest_runs_merge_and_widen(spark, tmp_path):
-    docs = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(40))) for i in range(30)]
-    from presswell.llm.neardup import profiles
+def test_links_and_classes(spark):
+    history = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "q r s t u v")], "doc long, text string")
+    batch = spark.createDataFrame([(1, 10, "A b c d e f g h"), (1, 11, "a b c d e f g h i j"), (2, 12, "z y x w v u")], "batch_no int, doc long, text string")
+    got = {r.doc: (r.class_id, r.links) for r in batch_links(history, batch, 0.6, 3).collect()}
+    assert {d: n for d, (_, n) in got.items()} == {10: 2, 11: 2, 12: 0} and len({c for c, _ in got.values()}) == 3
+
+
+def few_words(n, first=0):
+    return [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(40))) for i in range(first, first + n)]
+
 
-    known = profiles(spark.createDataFrame(docs, "doc long, text string"), 3).where("n > 0")
-    forest = HashForest(spark, f"file://{tmp_path}/f", trees=20, threshold=0.6, width=3, most_runs=2, block=5)
+def test_forest_runs_merge_and_widen(spark, tmp_path):
+    docs = few_words(30)
+    forest = HashForest(spark, f"file://{tmp_path}/f", trees=20, threshold=0.6, width=3, fanout=2, file_rows=50)
+    frame = lambda rows: spark.createDataFrame(rows, "doc long, text string")
     for k in range(4):
-        forest.add(known.where(f"doc % 4 = {k}"))
-    run = forest.add(known.limit(0))
-    assert forest.lookup(run).count() == 0
-    assert len(forest.runs) <= 2 and recall(forest.depth, 20, 0.6) >= 0.9999 or forest.depth == 1
-    assert forest._read().count() == 30 * 20
-    found = {(r.a, r.b) for r in forest.lookup(entries(known, 3, 20)).collect()}
-    hashes = {r.doc: r.set_hash for r in known.collect()}
+        forest.add(frame([d for d in docs if d[0] % 4 == k]), batch=k, find=False)
+    assert forest.add(frame(docs[:0])).found.count() == 0
+    runs = forest.log.latest()[1]["nodes"]
+    assert sum(n for _, n in runs) == 30 * 20 and len(runs) <= 4
+    assert recall(DEPTH - forest.shift // BITS, 20, 0.6) >= 0.9999 or forest.shift == BITS * (DEPTH - 1)
+    taken = forest.add(frame(docs), batch=3)  # a number that is taken: looked up, not written
+    assert forest.log.latest()[1]["nodes"] == runs
+    found = {(r.a, r.b) for r in taken.found.collect()}
+    hashes = {r.doc: r.set_hash for r in taken.members.collect()}
     for i, s in docs:
         for j, t in docs:
             if i < j and alike(s, t, 3) >= 0.6:
                 assert tuple(sorted((hashes[i], hashes[j]))) in found
     offsets, tokens = shingle_batch([docs[0][1]], 3)
-    assert signature_keys(offsets, tokens, 3).shape == (3, 1) and DEPTH == 4
+    nodes = signature_nodes(offsets, tokens, 3)
+    assert nodes.shape == (3, 1) and (nodes[:, 0] >> np.uint64(56)).tolist() == [0, 1, 2]
+    with pytest.raises(ValueError):
+        HashForest(spark, f"{tmp_path}/g", trees=128)
+
+
+def test_what_is_opened_grows_with_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    docs = [(i, " ".join(str(rng.random()) for _ in range(12))) for i in range(400)]
+    frame = lambda rows: spark.createDataFrame(rows, "doc long, text string")
+    forest = HashForest(spark, str(tmp_path / "f"), trees=10, file_rows=40)
+    forest.add(frame(docs), find=False)
+    opened = []
+    for rows in (docs[:1], docs[:40]):
+        before = forest.rows_opened
+        assert forest.add(frame([(1000 + d, t) for d, t in rows])).found.count() == 0
+        opened.append(forest.rows_opened - before)
+    assert opened[0] <= 0.25 * 10 * 400 and opened[1] > 2 * opened[0]
+
+
+def test_a_second_process_opens_the_forest(spark, tmp_path):
+    import subprocess
+    import sys
+
+    docs = few_words(12)
+    forest = HashForest(spark, str(tmp_path / "f"), trees=30, threshold=0.6, width=3)
+    forest.add(spark.createDataFrame(docs, "doc long, text string"), batch=1, find=False)
+    code = f"""
+from presswell.llm.hashforest import HashForest, batch_duplicates
+from presswell.session import build_session
+spark = build_session("local[2]", 2, "1g")
+assert HashForest(spark, {str(tmp_path / "f")!r}).options["trees"] == 30
+new = spark.createDataFrame([(1, 100, {docs[3][1]!r} + " more"), (1, 101, "nothing like it at all")], "batch_no int, doc long, text string")
+none = spark.createDataFrame([], "doc long, text string")
+print("PAIRS", sorted(tuple(r) for r in batch_duplicates(none, new, path={str(tmp_path / "f")!r}).collect()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    want = [(d, 100) for d, t in docs if alike(t, docs[3][1] + " more", 3) >= 0.6]
+    assert f"PAIRS {want}" in out.stdout, out.stderr[-2000:]
+    assert [n for _, n in HashForest(spark, str(tmp_path / "f")).log.latest()[1]["members"]] == [12, 2]
+
+
+def test_a_writer_that_dies_leaves_the_forest_as_it_was(spark, tmp_path, monkeypatch):
+    forest = HashForest(spark, str(tmp_path / "f"), trees=5)
+    forest.add(spark.createDataFrame(few_words(3), "doc long, text string"), find=False)
+    before = forest.log.latest()
+    monkeypatch.setattr(forest.log, "publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        forest.add(spark.createDataFrame(few_words(3, 50), "doc long, text string"))
+    assert HashForest(spark, str(tmp_path / "f")).log.latest() == before
+    classes = similar_classes(HashForest(spark, str(tmp_path / "f")), spark.createDataFrame([(1, 2)], "a long, b long"))
+    assert classes.count() == 0
 
 
 def test_batches_of_nothing(spark):
