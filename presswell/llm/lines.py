@@ -2,10 +2,11 @@
 
 Lines are masked (numbers, dates and names become one mark each) and clustered
 within their site by locality-sensitive hashing of word shingles: lines that
-agree on a band of min-hashes meet in a bucket. Buckets are counted, partly
-before the shuffle, and those of few documents dropped; what remains are
-clusters of near-duplicate lines with a high document frequency. Only their
-lines are counted one by one, exactly.
+agree on a band of min-hashes meet in a bucket. The normal form itself is one
+more bucket, so equal lines always meet, whatever their min-hashes. Buckets
+are counted, partly before the shuffle, and those of few documents dropped;
+what remains are clusters of near-duplicate lines with a high document
+frequency. Only their lines are counted one by one, exactly.
 """
 
 from __future__ import annotations
@@ -22,13 +23,10 @@ from pyspark.sql import functions as F
 from presswell.llm.components import connected_components
 from presswell.llm.neardup import chunks
 from presswell.llm.shingles import mix
-from presswell.operators.lookup import looked_up, small
+from presswell.operators.lookup import looked_up
 from presswell.session import materialize
 
-#: Bands of masked lines, then bands of lines whose names are left as they are, in
-#: lower case: those see lines apart from case alike, which masking names doesn't.
-WIDTH, MASKED, PLAIN, ROWS = 5, 3, 2, 3
-BANDS = MASKED + PLAIN
+WIDTH, BANDS, ROWS = 5, 3, 3
 _U = np.uint64
 
 
@@ -49,14 +47,13 @@ _LINK = re.compile(r"://|^www\.|@|\.(?:example|com|org|net|lk)\b")
 _NUMBER_MARK, _NAME_MARK, _LINK_MARK, _END = (xxhash.xxh3_64_intdigest(x) for x in ("<0>", "<name>", "<link>", "<end>"))
 
 
-def masked_tokens(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line number, hash, hash with names kept) of the masked tokens of each line.
+def masked_tokens(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line number, hash) of the masked tokens of each line.
 
     A token with a digit is a number (dates, times, scores), a link or address
     a link; a capitalised word that doesn't begin the line or a sentence is a
     name, and a run of names is one. Other tokens count in lower case, without
-    the punctuation around them. The last value keeps every name and the
-    first has a mark only at the first of a run (0 at the others).
+    the punctuation around them.
     """
     lists = [x.split() for x in lines]
     count = np.array([len(x) for x in lists], dtype=np.int64)
@@ -79,7 +76,7 @@ def masked_tokens(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     name = h == _U(_NAME_MARK)
     again = np.zeros(len(line), dtype=bool)
     again[1:] = name[1:] & name[:-1] & (line[1:] == line[:-1])
-    return line, np.where(again, _U(0), h), word[codes]
+    return line[~again], h[~again]
 
 
 def _band_hashes(line: np.ndarray, h: np.ndarray, lines: int, bands: int, seed: int) -> np.ndarray:
@@ -108,14 +105,13 @@ def _band_hashes(line: np.ndarray, h: np.ndarray, lines: int, bands: int, seed:
 
 def bands_of(lines: list[str]) -> np.ndarray:
     """(lines, BANDS) 32-bit hashes; equal ones of a band mean agreement on ROWS min-hashes."""
-    line, masked, plain = masked_tokens(lines)
-    kept = masked != 0
-    out = np.hstack((_band_hashes(line[kept], masked[kept], len(lines), MASKED, 1), _band_hashes(line, plain, len(lines), PLAIN, 1000)))
+    line, masked = masked_tokens(lines)
+    out = _band_hashes(line, masked, len(lines), BANDS, 1)
     return (out >> _U(32)).astype(np.uint32).view(np.int32)
 
 
 def line_places(docs: DataFrame) -> DataFrame:
-    """(doc, site, line_no, line, key, bands) of every non-empty line; key is a hash of the normal form.
+    """(doc, site, line_no, key, bands) of every non-empty line; key is a hash of the normal form.
 
     ``docs`` has doc, site and text. Lines count from 1 over all lines of the
     text split at ``\\n``, the empty ones too.
@@ -123,12 +119,12 @@ def line_places(docs: DataFrame) -> DataFrame:
     split = docs.where("text is not null").select("doc", "site", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     out = split.withColumn("normal", normal_line(F.col("line"))).where("normal <> ''")
     out = out.select("doc", "site", (F.col("at") + 1).alias("line_no"), "line", F.xxhash64("normal").alias("key"))
-    schema = "doc long, site string, line_no int, line string, key long, " + ", ".join(f"band{b} int" for b in range(BANDS))
+    schema = "doc long, site string, line_no int, key long, " + ", ".join(f"band{b} int" for b in range(BANDS))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in chunks(frames, "line"):
             found = bands_of(frame["line"].tolist())
-            yield frame.assign(**{f"band{b}": found[:, b] for b in range(BANDS)})
+            yield frame.drop(columns="line").assign(**{f"band{b}": found[:, b] for b in range(BANDS)})
 
     return out.mapInPandas(run, schema)
 
@@ -137,12 +133,12 @@ def repeated_lines(docs: DataFrame, least_docs: int = 5, least_share: float = 0.
     """(places, clusters) of lines repeated within a site.
 
     ``docs`` has doc (one row each), site and text; other columns are ignored.
-    ``places`` (doc, site, line_no, line, key, cluster, line_docs, needed) has
-    every line of a frequent cluster. Its line itself is found in
-    ``line_docs`` documents of the site, and ``needed`` is the number that
-    makes a repeated line: ``least_docs`` and ``least_share`` of the site's
-    documents. ``clusters`` (site, cluster, lines, cluster_docs, line_docs,
-    needed). Documents without a site (NULL) are left out; NULL and empty
+    ``places`` (doc, site, line_no, key, cluster, line_docs, cluster_docs,
+    needed) has every line of a frequent cluster. The line itself is found in
+    ``line_docs`` documents of the site, lines of its cluster in
+    ``cluster_docs``, and ``needed`` is the number that makes a repeated line:
+    ``least_docs`` and ``least_share`` of the site's documents. ``clusters``
+    (site, cluster, lines, cluster_docs, line_docs, needed). Documents without a site (NULL) are left out; NULL and empty
     texts count as documents of their site but have no lines. A line counts
     once per document, however often it stands there.
     """
@@ -152,35 +148,37 @@ def repeated_lines(docs: DataFrame, least_docs: int = 5, least_share: float = 0.
     totals = materialize(sited.groupBy("site").agg(needed.alias("needed")), "sites")
 
     # a document with two lines of one bucket counts twice here, so no frequent cluster is lost
-    one = F.stack(F.lit(BANDS), *(x for b in range(BANDS) for x in (F.lit(b), F.col(f"band{b}")))).alias("at", "band")
+    buckets_of = [(F.lit(b), F.col(f"band{b}").cast("long")) for b in range(BANDS)] + [(F.lit(-1), F.col("key"))]
+    one = F.stack(F.lit(len(buckets_of)), *(x for pair in buckets_of for x in pair)).alias("at", "band")
     hashed = places.select("site", "key", one).select("site", "key", F.xxhash64("site", "at", "band").alias("bucket"))
     buckets = hashed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("head")).where(F.col("n") >= least_docs)
     buckets = materialize(buckets, "buckets")
-    members = hashed.join(_small(buckets), "bucket").groupBy("site", "key", "head").agg(F.max("n").alias("n"))
-    members = materialize(members.join(totals, "site").where("n >= needed").select("site", "key", "head"), "members")
+    members = looked_up(hashed, buckets, ["bucket"]).groupBy("site", "key", "head").agg(F.max("n").alias("n"))
+    members = materialize(looked_up(members, totals, ["site"]).where("n >= needed").select("site", "key", "head"), "members")
     node = lambda c: F.xxhash64("site", c)
     labels = connected_components(members.select(node("key").alias("a"), node("head").alias("b")))
     keys = members.select("site", "key").distinct().withColumn("node", node("key")).join(labels, "node", "left")
     keys = materialize(keys.select("site", "key", F.coalesce("component", "node").alias("cluster")), "keys")
 
-    # the exact count of each line of the clusters
-    inside = places.join(_small(keys), ["site", "key"])
-    per_doc = inside.groupBy("site", "key", "cluster", "doc").agg(F.count("*").alias("times"))
+    # the exact counts of each line of the clusters, and of each cluster
+    inside = looked_up(places.select("doc", "site", "key"), keys, ["site", "key"])
+    per_doc = materialize(inside.select("site", "key", "cluster", "doc").distinct(), "inside")
     counted = per_doc.groupBy("site", "key", "cluster").agg(F.count("*").alias("line_docs"))
-    counted = materialize(counted.join(totals, "site"), "counted")
-    found = places.join(_small(counted), ["site", "key"])
+    sizes = per_doc.select("site", "cluster", "doc").distinct().groupBy("site", "cluster").agg(F.count("*").alias("cluster_docs"))
+    counted = materialize(looked_up(counted.join(sizes, ["site", "cluster"]), totals, ["site"]), "counted")
+    found = looked_up(places.select("doc", "site", "line_no", "key"), counted, ["site", "key"])
     summary = counted.groupBy("site", "cluster").agg(
-        F.count("*").alias("lines"), F.sum("line_docs").alias("cluster_docs"), F.max("line_docs").alias("line_docs"), F.max("needed").alias("needed")
+        F.count("*").alias("lines"), F.max("cluster_docs").alias("cluster_docs"), F.max("line_docs").alias("line_docs"), F.max("needed").alias("needed")
     )
     return found, summary
 
 
 def without_lines(docs: DataFrame, places: DataFrame, near: bool = False) -> DataFrame:
-    """(doc, text) of ``docs`` without repeated lines; of all lines of frequent clusters if ``near``.
+    """(doc, text) of ``docs`` without repeated lines; without all lines of clusters that stand in as many documents if ``near``.
 
     Documents in which no such line stands keep their text unchanged.
     """
-    chosen = places if near else places.where("line_docs >= needed")
+    chosen = places.where("cluster_docs >= needed" if near else "line_docs >= needed")
     numbers = chosen.groupBy("doc").agg(F.collect_set("line_no").alias("gone"))  # lines of one document
     rows = docs.join(numbers, "doc", "left")
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", (i + 1).cast("int")))

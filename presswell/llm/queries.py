@@ -59,6 +59,12 @@ def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return lines.without_lines(docs, places).withColumnRenamed("doc", "id")
 
 
+def p5_cleaned_near(spark: SparkSession, folder: str) -> DataFrame:
+    """The same without all lines of near-duplicate clusters that stand in as many articles: bylines, counters and the like, too."""
+    docs, places, _ = _repeated(spark, folder)
+    return lines.without_lines(docs, places, near=True).withColumnRenamed("doc", "id")
+
+
 def p5_remains(spark: SparkSession, folder: str) -> DataFrame:
     """The same in the COMPLETED articles' ``content_clean``, by the site of the article's current link."""
     links = news.current_scraped(spark, folder, "link").select(F.col("id").alias("doc"), lines.site_of(F.col("link")).alias("site"))
@@ -179,6 +185,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p5_cleaned": p5_cleaned,
+    "p5_cleaned_near": p5_cleaned_near,
     "p5_remains": p5_remains,
     "p6_found": p6_found,
     "p6_stats": p6_stats,
