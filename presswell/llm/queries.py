@@ -163,6 +163,13 @@ def p9_shares(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> D
     return mixing.mixture_report(selected, per_source)
 
 
+def p9_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the documents selected, sized by white space, keep to shares, repeats and plan; all true, or it is wrong."""
+    sizes = materialize(mixing.whitespace_sizes(_documents(spark, folder)), "sizes")
+    per_source, per_length = mixing.plan_mixture(sizes, read_table(spark, folder, "mix_targets"))
+    return mixing.mixture_check(mixing.select_mixture(sizes, per_source, per_length), per_source, sizes)
+
+
 def p9_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Each source's documents and size in pieces between white space."""
     sizes = mixing.whitespace_sizes(_documents(spark, folder))
@@ -198,6 +205,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_check": p9_check,
     "p9_sizes": p9_sizes,
     "p10_found": p10_found,
     "p10_rates": p10_rates,

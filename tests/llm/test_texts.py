@@ -269,10 +269,20 @@ def test_fit_hits_the_budget():
         for x, n in counts.items():
             sums = {s + k * x for s in sums for k in range(n + 1) if s + k * x <= budget}
         assert budget - size <= max(0, budget - max(sums)) + 3 * max(counts)
+        assert size == budget or max(counts) < 12 or budget - size < max(counts)
     huge = {x: 50 for x in range(10, 200)} | {3_000_000: 2}
     plan = mixing.fit(huge, 3_500_123)
     assert sum(x * n for x, n in plan.items()) == 3_500_123 and plan[3_000_000] == 1
     assert mixing.fit({3: 10, 5: 10}, 37) and sum(x * n for x, n in mixing.fit({3: 10, 5: 10}, 37).items()) == 37
+    plan = mixing.fit({7: 1000, 500_000: 2}, 500_703)  # only a longer document fills the gap
+    assert plan == {500_000: 1, 7: 100}
+    many = {x: 1 for x in range(900_000, 1_000_000)}
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    plan = mixing.fit(many, 47_000_000_123)
+    assert sum(x * n for x, n in plan.items()) == 47_000_000_123 and all(n <= 1 for n in plan.values())
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000  # KB
     assert mixing.fit({}, 5) == {} and mixing.fit({0: 4}, 0) == {} and mixing.fit({2: 3}, 99) == {2: 3}
 
 
