@@ -59,6 +59,15 @@ ENTITY_TYPES = {"PERSON": "PERSON", "ORG": "ORGANIZATION", "GPE": "LOCATION", "L
 # Sentiment labels of a scorer.
 SENTIMENT_LABELS = {"LABEL_0": "negative", "LABEL_1": "neutral", "LABEL_2": "positive"}
 
+# Events known from the start (name, type, first and last day).
+EVENT_SEED = [
+    ("2026 Sri Lanka Fuel Crisis (Iran War Oil Shock)", "Economic", "2026-02-28", None),
+    ("Cyclone Ditwah", "Natural Disaster", "2025-11-28", "2025-12-15"),
+]
+
+# How labels of weeks are shown.
+LABEL_COLOURS = {1: "green", 0: "gray"}
+
 # Metrics of the anomaly score.
 ANOMALY_METRICS = ["article_count", "negative_sentiment_ratio", "fuel_topic_frequency", "iran_war_topic_frequency", "disaster_recovery_topic_frequency"]
 

@@ -43,9 +43,21 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def length_summary(rows: DataFrame, column: str) -> DataFrame:
-    """Count, mean, median, least and greatest of a numeric column."""
+    """Count, mean, sample standard deviation, least, quartiles and greatest of a numeric column; quartiles between two values are interpolated."""
     c = F.col(column)
-    return rows.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.median(c).alias("median"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+    quarter = lambda q: F.percentile(c, q)
+    return rows.agg(
+        F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("deviation"), F.min(c).alias("least"),
+        quarter(0.25).alias("lower_quartile"), F.median(c).alias("median"), quarter(0.75).alias("upper_quartile"), F.max(c).alias("greatest"),
+    )
+
+
+def categories(column: Column, names: dict, default: str) -> Column:
+    """A value's category by ``names``; ``default`` for NULL and for values that have none."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for value, name in names.items():
+        out = out.when(column == value, name)
+    return out.otherwise(default)
 
 
 def histogram(rows: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -19,6 +19,16 @@ def unprocessed(raw: DataFrame, processed: DataFrame) -> DataFrame:
     return raw.join(settled, "id", "left_anti")
 
 
+def by_ids(raw: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
+    """The rows with these ids; the filter reaches the scan. NULL ids and those that are not there give no row."""
+    return raw.where(F.col(key).isin([i for i in ids if i is not None]))
+
+
+def insert_new(existing: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``existing`` and those of ``rows`` whose key it lacks, once each: a repeated seed changes nothing."""
+    return existing.unionByName(rows.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+
+
 def needing(processed: DataFrame, child: DataFrame) -> DataFrame:
     """COMPLETED articles without a row in a table of enrichments."""
     return processed.where("processing_status = 'COMPLETED'").join(child.select("article_id"), "article_id", "left_anti")

@@ -198,7 +198,7 @@ y AS (SELECT label, coalesce(tp / nullif(called, 0), 0.0) AS precision, coalesce
         "entity_row_counts": f"{panel} SELECT * FROM en",
         "validate_articles": f"SELECT id, {_REASON} AS reason, {_REASON} = '' AS is_valid FROM {RAW}",
         "date_normalization": f"""WITH d AS (SELECT id, {_date('date')} AS p FROM {RAW})
-SELECT id, p AS publication_date, CAST(year(p) AS INTEGER) AS publication_year, CAST(month(p) AS INTEGER) AS publication_month, {_WEEK.format('p')} AS publication_week,
+SELECT id, strftime(CAST(p AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS published_at, p AS publication_date, CAST(year(p) AS INTEGER) AS publication_year, CAST(month(p) AS INTEGER) AS publication_month, {_WEEK.format('p')} AS publication_week,
   CAST(day(p) AS INTEGER) AS publication_day, CASE WHEN p IS NULL THEN 'FAILED' ELSE 'OK' END AS date_parse_status FROM d""",
         "week_to_monday": f"SELECT DISTINCT week, CAST({_MONDAY.format('week')} AS DATE) AS monday FROM {WEEKLY}",
         "clean_articles": f"SELECT id, {_clean('content')} AS content_clean, {_clean('title')} AS title_clean FROM {RAW}",
@@ -264,13 +264,13 @@ SELECT e.event_id, e.event_name, first_week AS first_detection_week, CAST(date_d
         "weekday_counts": f"SELECT dayname(publication_date) AS weekday, CAST(isodow(publication_date) AS INTEGER) AS place, count(*) AS n FROM {COMPLETED} WHERE publication_date IS NOT NULL GROUP BY ALL",
         "weeks_with_fewest": f"SELECT CAST(date_trunc('week', publication_date) AS DATE) AS week_start, count(*) AS n FROM {COMPLETED} WHERE publication_date IS NOT NULL GROUP BY 1 ORDER BY n, week_start LIMIT 10",
         "null_empty_checks": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (trim({c}) = '') AS empties FROM scraped_news" for c in ("title", "content", "date", "link")),
-        "length_stats": "SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, median(n_chars) AS median, min(n_chars) AS least, max(n_chars) AS greatest FROM documents",
+        "length_stats": "SELECT count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS deviation, min(n_chars) AS least, quantile_cont(n_chars, 0.25) AS lower_quartile, median(n_chars) AS median, quantile_cont(n_chars, 0.75) AS upper_quartile, max(n_chars) AS greatest FROM documents",
         "length_histogram": "WITH s AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents) SELECT CAST(coalesce(least(49, floor((n_chars - lo) / (hi - lo) * 50)), 0) AS INTEGER) AS bin, count(*) AS n FROM documents, s WHERE n_chars IS NOT NULL GROUP BY 1",
         "date_span": f"SELECT min(publication_date) AS first, max(publication_date) AS last, CAST(date_diff('day', min(publication_date), max(publication_date)) AS INTEGER) AS days, count(DISTINCT publication_date) AS different FROM {COMPLETED}",
         "examples_per_source": "SELECT source, doc_id, n_chars, CAST(place AS INTEGER) AS place FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) WHERE place <= 3",
         "fold_label_counts": f"SELECT crisis_event, label_pre_crisis, count(*) AS n FROM {WEEKLY} GROUP BY ALL",
         "sample_for_labelling": f"SELECT article_id FROM {COMPLETED} ORDER BY sha256(article_id || ':42') LIMIT 120",
-        "raw_lookup": "SELECT DISTINCT id, title, date, link FROM scraped_news WHERE id = 7",
+        "raw_lookup": "SELECT DISTINCT id, title, date, link FROM scraped_news WHERE id IN (7, 41, 3, -1)",
         "panel_scan": f"SELECT series, week, article_count, crisis_event, label_pre_crisis FROM {WEEKLY}",
         "events_scan": "SELECT event_id, event_name, start_date, end_date FROM crisis_events",
         "topic_corpus": f"""SELECT article_id, regexp_replace(regexp_replace(coalesce(title_clean, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') || ' ' || regexp_replace(coalesce(content_clean, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM {COMPLETED}""",

@@ -158,7 +158,8 @@ def validate_articles(spark, folder):
 
 
 def date_normalization(spark, folder):
-    return _raw(spark, folder).select("id", *(c.alias(n) for n, c in dates.date_columns("date").items() if n != "published_at"))
+    columns = dates.date_columns("date")
+    return _raw(spark, folder).select("id", *(c.alias(n) if n != "published_at" else F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(n) for n, c in columns.items()))
 
 
 def week_to_monday(spark, folder):
@@ -384,7 +385,7 @@ def strip_html_parsed(spark, folder):
 
 
 def raw_lookup(spark, folder):
-    return read_table(spark, folder, "scraped_news").where("id = 7").select("id", "title", "date", "link").distinct()
+    return store.by_ids(read_table(spark, folder, "scraped_news"), [7, 41, 3, -1]).select("id", "title", "date", "link").distinct()
 
 
 def panel_scan(spark, folder):

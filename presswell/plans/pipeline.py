@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from presswell import config
 from presswell.functions.dates import date_columns
+from presswell.functions.scoring import topic_name
 from presswell.functions.text import clean_text, sentence_count, word_count
 from presswell.operators.anomaly import anomaly_scores
 from presswell.operators.dedup import assign_after, check_new
 from presswell.operators.enrich import count_entities, keyword_scores, pattern_mentions, score_sentiment, top_keywords
 from presswell.operators.events import label_weeks
-from presswell.operators.store import needing, stage_log, unprocessed, upsert
+from presswell.operators.models import BatchModel, embedded, hashed_vectors
+from presswell.operators.store import VersionedTable, insert_new, needing, stage_log, unprocessed, upsert
+from presswell.operators.topics import default_names, fit_topics, topic_text, topic_words
 from presswell.operators.trends import add_trends
 from presswell.operators.validate import validate
 from presswell.operators.weekly import article_dataset, child_dataset, weekly_panel
@@ -98,6 +101,42 @@ def enrich(processed: DataFrame, sentiment: DataFrame, keywords: DataFrame, enti
     return s, upsert(keywords, k, ["article_id", "rank"]), upsert(entities, e, ["article_id", "entity", "entity_type"])
 
 
+def topic_stage(processed: DataFrame, model: BatchModel | None = None, table: VersionedTable | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(article_id, topic_id, topic_name, topic_probability) of all COMPLETED articles, and (topic_id, word, score, rank).
+
+    The whole corpus is embedded and fitted anew, so with ``table`` all its
+    rows are replaced at once: topics of different fits never mix. ``model``
+    embeds texts (``hashed_vectors`` by default); ``options`` are those of
+    ``fit_topics``. Articles without words have no topic.
+    """
+    corpus = processed.where("processing_status = 'COMPLETED'").select(F.col("article_id").alias("doc"), topic_text("title_clean", "content_clean").alias("text"))
+    vectors = materialize(embedded(corpus, model or hashed_vectors()), "vectors")
+    assigned = materialize(fit_topics(vectors.select("doc", "vector"), **options), "topics")
+    words = materialize(topic_words(vectors.select("doc", "text").join(assigned, "doc").select("topic_id", "text")), "words")
+    rows = assigned.join(F.broadcast(default_names(words)), "topic_id", "left")  # a row per topic
+    rows = rows.select(F.col("doc").alias("article_id"), "topic_id", F.coalesce("topic_name", topic_name(F.col("topic_id"), F.array().cast("array<string>"))).alias("topic_name"), "topic_probability")
+    if table is not None:
+        table.replace(rows)
+        rows = table.read()
+    return rows, words
+
+
+def write_panel(table: VersionedTable, panel: DataFrame) -> DataFrame:
+    """Upsert the weekly panel by week in one step and return the table; running it again changes nothing."""
+    table.upsert(panel)
+    return table.read()
+
+
+def seed_events(existing: DataFrame) -> DataFrame:
+    """The events table with the known events it lacks, by name; their ids follow the greatest there is."""
+    spark = existing.sparkSession
+    start = existing.agg(F.coalesce(F.max("event_id"), F.lit(0))).first()[0]
+    rows = [(start + k + 1, *e) for k, e in enumerate(config.EVENT_SEED)]
+    seed = spark.createDataFrame(rows, "event_id int, event_name string, crisis_type string, start_date string, end_date string")
+    seed = seed.withColumns({c: F.col(c).cast("date") for c in ("start_date", "end_date")})
+    return insert_new(existing, seed, ["event_name"])
+
+
 def full_panel(processed: DataFrame, sentiment: DataFrame, topics: DataFrame, keywords: DataFrame, entities: DataFrame, events: DataFrame) -> DataFrame:
     """The weekly panel with trends, event labels and anomaly scores, in one plan, so no rerun of one part erases another."""
     base = weekly_panel(article_dataset(processed, sentiment, topics), child_dataset(processed, keywords, "keyword"), child_dataset(processed, entities, "entity_type"))

@@ -152,3 +152,84 @@ def test_stream(spark, tmp_path):
 
     events = spark.createDataFrame([(datetime(2024, 1, 7, 23), "a", 1.0), (datetime(2024, 1, 8), "a", 2.0)], "ts timestamp_ntz, event_type string, value double")
     assert {(r.week_start, r.n) for r in weekly_events(events).collect()} == {(date(2024, 1, 1), 1), (date(2024, 1, 8), 1)}
+
+
+def test_models_are_plugged_in_by_batches(spark):
+    from presswell.operators import models
+
+    seen_at_once = 2
+
+    def fake(result_of):
+        def load():
+            def predict(texts):
+                assert 0 < len(texts) <= seen_at_once and all(t.strip() for t in texts)
+                return [result_of(t) for t in texts]
+
+            return predict
+
+        return load
+
+    docs = spark.createDataFrame([(1, "good news"), (2, None), (3, "  "), (4, "bad news"), (5, "good day")], "article_id long, content_clean string")
+    scorer = models.BatchModel(fake(lambda t: ("LABEL_2" if "good" in t else "LABEL_0", 0.9)), models.SENTIMENT, seen_at_once)
+    got = {r.article_id: (r.sentiment, r.sentiment_score, r.sentiment_model) for r in enrich.score_sentiment(docs, models.sentiment_backend(scorer), "fake").collect()}
+    assert got == {1: ("positive", 0.9, "fake"), 2: ("neutral", 0.0, "fake"), 3: ("neutral", 0.0, "fake"), 4: ("negative", 0.9, "fake"), 5: ("positive", 0.9, "fake")}
+    tagger = models.BatchModel(fake(lambda t: [("Vondlar", "GPE"), ("Vondlar", "GPE"), ("x", "DATE")] if "good" in t else []), models.ENTITIES, seen_at_once)
+    assert {tuple(r) for r in enrich.count_entities(models.model_mentions(docs, tagger)).collect()} == {(1, "Vondlar", "LOCATION", 2.0), (5, "Vondlar", "LOCATION", 2.0)}
+    extractor = models.BatchModel(fake(lambda t: [(w, float(len(w))) for w in t.split()]), models.KEYWORDS, seen_at_once)
+    assert [(r.keyword, r["rank"]) for r in models.model_keywords(docs, extractor, 1).where("article_id = 5").collect()] == [("good", 1)]
+    vectors = {r.article_id: r.vector for r in models.embedded(docs, models.hashed_vectors(16), "content_clean").collect()}
+    assert vectors[2] is None and len(vectors[1]) == 16 and sum(x * x for x in vectors[1]) == pytest.approx(1) and vectors[1] != vectors[4]
+    short = models.BatchModel(lambda: lambda texts: [], models.VECTOR)
+    with pytest.raises(Exception, match="0 results for"):
+        models.embedded(docs, short, "content_clean").collect()
+    assert models.embedded(docs.limit(0), models.hashed_vectors(), "content_clean").count() == 0
+
+
+def test_topic_stage_replaces_all_topics(spark, tmp_path):
+    from presswell.operators.store import VersionedTable
+    from presswell.plans.pipeline import topic_stage
+    from presswell.schemas import TABLES
+
+    kinds = ["fuel queue pump tanker petrol station", "rice market price onion seller bag", "clinic nurse strike ward doctor patient"]
+    rows = [(i, "COMPLETED", "", kinds[i % 3] + f" extra{i % 4}") for i in range(60)] + [(90, "FAILED", None, None), (91, "COMPLETED", None, "  ")]
+    done = spark.createDataFrame(rows, "article_id long, processing_status string, title_clean string, content_clean string")
+    table = VersionedTable(spark, str(tmp_path / "t"), *TABLES["article_topics"])
+    topic_stage(done.limit(5), table=table, start=2, min_topic_size=1)
+    found, words = topic_stage(done, table=table, start=6, min_topic_size=5, nr_topics=3)
+    names = {r.article_id: (r.topic_id, r.topic_name) for r in found.collect()}
+    assert set(names) == set(range(60)) and {len({names[i] for i in range(k, 60, 3)}) for k in range(3)} == {1} and len(set(names.values())) == 3
+    assert all(set(name.split("_")) & set(kinds[i % 3].split()) for i, (_, name) in names.items()) and words.count() > 3
+
+
+def test_seed_labels_and_lookup(spark):
+    from presswell.operators import metrics, store
+    from presswell.plans.pipeline import seed_events
+
+    none = spark.createDataFrame([], "event_id int, event_name string, crisis_type string, start_date date, end_date date, description string")
+    seeded = seed_events(seed_events(none)).orderBy("event_id").collect()
+    assert [(r.event_id, r.start_date) for r in seeded] == [(1, date(2026, 2, 28)), (2, date(2025, 11, 28))] and seeded[0].end_date is None
+    rows = spark.createDataFrame([(1, " Positive "), (2, "NEGATIVE"), (3, "odd"), (4, None), (5, "odd ")], "id long, label string")
+    kept, rejected = metrics.valid_labels(rows, "label", ["positive", "neutral", "negative"])
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, "positive"), (2, "negative")]
+    assert {(r.label, r.n) for r in rejected.collect()} == {("odd", 2), (None, 1)}
+    assert sorted(r.id for r in store.by_ids(rows, [2, None, 5, 77]).collect()) == [2, 5] and store.by_ids(rows, []).count() == 0
+    shown = rows.select(explore.categories(F.col("id"), {1: "green", 2: "gray"}, "red").alias("c")).collect()
+    assert [r.c for r in shown] == ["green", "gray", "red", "red", "red"]
+
+
+def test_full_evaluation(spark):
+    from presswell.config import FEATURES
+    from presswell.operators.ml import full_evaluation
+
+    rows = []
+    for i in range(60):
+        pre = 15 <= i < 20 or 40 <= i < 45
+        rows.append((f"2025-W{i % 52 + 1:02d}", 1 if i < 32 else 2, int(pre), *([float(10 * pre + i % 3)] * len(FEATURES))))
+    panel = spark.createDataFrame(rows, "week string, crisis_event int, label_pre_crisis int, " + ", ".join(f"{f} double" for f in FEATURES))
+    events = spark.createDataFrame([(1, "A", date(2025, 5, 19)), (2, "B", date(2025, 11, 10)), (3, "C", date(2026, 1, 1))], "event_id int, event_name string, start_date date")
+    measures, leads = full_evaluation(panel, events, trees=10, depth=4)
+    got = {(r.model, r.fold): r for r in measures.collect()}
+    assert set(got) == {(m, f) for m in ("logistic_regression", "random_forest") for f in (1, 2, None)}
+    forest = got["random_forest", 1]
+    assert (forest.tp, forest.fn) == (5, 0) and forest.recall == 1.0 and got["random_forest", None].tp is None and got["random_forest", None].recall == 1.0
+    assert {(r.event_id, r.first_detection_week) for r in leads.collect()} == {(1, "2025-W16"), (2, "2025-W41"), (3, None)}
