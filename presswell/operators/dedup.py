@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from presswell.config import MAX_DAY_TERMS, NEAR_DUPLICATE_COSINE, STOPWORDS
 from presswell.functions.text import content_hash, tokens
 from presswell.operators.lookup import looked_up
-from presswell.session import materialize
+from presswell.session import discard, materialize
 
 
 def mark_first_seen(rows: DataFrame, column: str) -> DataFrame:
@@ -93,9 +93,11 @@ def greedy_marks(pairs: DataFrame) -> DataFrame:
         waiting = open_.select(F.col("b").alias("a")).distinct()
         originals = open_.select("a").distinct().join(waiting, "a", "left_anti")
         hit = edges.join(originals, "a", "left_semi").select("b").distinct()
+        before = marked, open_
         marked = materialize(hit if marked is None else marked.unionByName(hit).distinct(), "marked")
         left = edges.join(marked, "b", "left_anti").join(marked.select(F.col("b").alias("a")), "a", "left_anti")
         open_ = materialize(left, "open")
+        discard(*(t for t in before if t is not edges))
     if marked is None:
         return edges.select(F.col("b").alias("doc"), F.col("a").alias("duplicate_of"))
     originals = edges.join(marked.select(F.col("b").alias("a")), "a", "left_anti").join(marked, "b", "left_semi")

@@ -62,6 +62,22 @@ sums AS (
   FROM dense)
 """
 
+_ENTITIES = """
+WITH cur AS (
+  SELECT article_id, publication_date FROM (
+    SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY processing_timestamp DESC NULLS LAST, publication_date DESC NULLS LAST) AS r FROM processed_news) WHERE r = 1),
+names AS (SELECT article_id, lower(trim(regexp_replace(entity, '\\s+', ' ', 'g'))) AS entity FROM (SELECT DISTINCT article_id, entity, entity_type, confidence FROM article_entities)),
+d AS (SELECT entity, publication_date, count(*) AS mentions FROM names JOIN cur USING (article_id) WHERE publication_date IS NOT NULL AND entity <> '' GROUP BY ALL),
+"""
+
+_ENTITY_TOTALS = """
+cal AS (SELECT entity, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST((SELECT max(publication_date) FROM cur) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS publication_date FROM span),
+dense AS (SELECT entity, publication_date, CAST(coalesce(mentions, 0) AS BIGINT) AS mentions FROM cal LEFT JOIN d USING (entity, publication_date)),
+s AS (SELECT *, CAST(sum(mentions) OVER (PARTITION BY entity ORDER BY publication_date ROWS 6 PRECEDING) AS BIGINT) AS total_7,
+  CAST(sum(mentions) OVER (PARTITION BY entity ORDER BY publication_date ROWS 29 PRECEDING) AS BIGINT) AS total_30 FROM dense)
+SELECT *, round(total_7 / 7.0, 6) AS average_7, round(total_30 / 30.0, 6) AS average_30 FROM s
+"""
+
 ORACLE = {
     "p1_found": _P1.format(extra=""),
     "p1_delivered": _P1.format(extra=", CAST(1 AS BIGINT) AS deliveries"),
@@ -77,17 +93,12 @@ WHERE present AND (coalesce(abs(ma_4week - right_4) > 0.01, (ma_4week IS NULL) <
 SELECT series, strftime(monday, '%G-W%V') AS week, present, article_count, round(right_4, 6) AS right_4, round(right_8, 6) AS right_8,
   round(ma_4week, 6) AS ma_4week, round(ma_8week, 6) AS ma_8week FROM sums
 """,
-    "p4_entities": """
-WITH cur AS (
-  SELECT article_id, publication_date FROM (
-    SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY processing_timestamp DESC NULLS LAST, publication_date DESC NULLS LAST) AS r FROM processed_news) WHERE r = 1),
-m AS (SELECT article_id, lower(trim(regexp_replace(entity, '\\s+', ' ', 'g'))) AS entity FROM (SELECT DISTINCT article_id, entity, entity_type, confidence FROM article_entities)),
-d AS (SELECT entity, publication_date, count(*) AS mentions FROM m JOIN cur USING (article_id) WHERE publication_date IS NOT NULL AND entity <> '' GROUP BY ALL),
-span AS (SELECT entity, min(publication_date) AS a, max(publication_date) AS b FROM d GROUP BY entity),
-cal AS (SELECT entity, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS publication_date FROM span),
-dense AS (SELECT entity, publication_date, CAST(coalesce(mentions, 0) AS BIGINT) AS mentions FROM cal LEFT JOIN d USING (entity, publication_date)),
-s AS (SELECT *, CAST(sum(mentions) OVER (PARTITION BY entity ORDER BY publication_date ROWS 6 PRECEDING) AS BIGINT) AS total_7,
-  CAST(sum(mentions) OVER (PARTITION BY entity ORDER BY publication_date ROWS 29 PRECEDING) AS BIGINT) AS total_30 FROM dense)
-SELECT *, round(total_7 / 7.0, 6) AS average_7, round(total_30 / 30.0, 6) AS average_30 FROM s
-""",
+    "p4_entities": _ENTITIES
+    + """
+span AS (SELECT entity, min(publication_date) AS a FROM d GROUP BY entity),"""
+    + _ENTITY_TOTALS,
+    "p4_entity_days": _ENTITIES
+    + """
+span AS (SELECT DISTINCT entity, (SELECT min(publication_date) FROM cur) AS a FROM names WHERE entity <> ''),"""
+    + _ENTITY_TOTALS,
 }

@@ -74,14 +74,20 @@ def _entity_totals(dense: DataFrame) -> DataFrame:
     )
 
 
+def _span(processed: DataFrame) -> tuple[Column, Column]:
+    """First and last publication date of all current rows."""
+    dates = newest_values(processed, ["article_id"], "processing_timestamp", [F.col("publication_date")])
+    first, last = dates.agg(F.min("publication_date"), F.max("publication_date")).first()
+    return F.lit(first).cast("date"), F.lit(last).cast("date")
+
+
 def entity_calendar(entities: DataFrame, processed: DataFrame) -> DataFrame:
     """Totals and averages over 7 and 30 days of every entity on every day from the first to the last ``publication_date``.
 
     The days are those of all current rows, with mentions or without, and are
     the same for each entity. An entity without a dated mention has zeros.
     """
-    dates = newest_values(processed, ["article_id"], "processing_timestamp", [F.col("publication_date")])
-    first, last = (F.lit(d).cast("date") for d in dates.agg(F.min("publication_date"), F.max("publication_date")).first())
+    first, last = _span(processed)
     every = entities.select(_name().alias("entity")).where("entity <> ''").distinct()
     days = entity_days(entities, processed).unionByName(every.select("entity", first.alias("publication_date"), F.lit(0).alias("mentions")))
     days = days.groupBy("entity", "publication_date").agg(F.sum("mentions").alias("mentions"))
@@ -89,12 +95,13 @@ def entity_calendar(entities: DataFrame, processed: DataFrame) -> DataFrame:
 
 
 def p4_entities(spark: SparkSession, folder: str) -> DataFrame:
-    """Totals and averages over 7 and 30 days on each day from an entity's first to its last mention.
+    """Totals and averages over 7 and 30 days on each day from an entity's first mention to the last day of the table.
 
-    Days outside an entity's mentions are left out, as in the SQL twin; ``p4_entity_days`` has them all.
+    Days before an entity's first mention have zeros and are left out; ``p4_entity_days`` has them too.
     """
-    days = entity_days(read_table(spark, folder, "article_entities"), read_table(spark, folder, "processed_news"))
-    return _entity_totals(densify(days, ["entity"], "publication_date"))
+    processed = read_table(spark, folder, "processed_news")
+    days = entity_days(read_table(spark, folder, "article_entities"), processed)
+    return _entity_totals(densify(days, ["entity"], "publication_date", last=_span(processed)[1]))
 
 
 def p4_entity_days(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presswell.sources.commits import Files
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -21,11 +23,13 @@ DEFAULTS = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and single-machine runs; a cluster brings its own."""
+def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A session for tests and single-machine runs; a cluster brings its own. ``shared`` is its folder for written stages."""
     builder = SparkSession.builder.master(master).appName("presswell").config("spark.driver.memory", memory)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions)).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -66,4 +70,14 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     path = scratch_path(df.sparkSession, name)
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and whose followers are written by now; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            Files(table.sparkSession, path).delete("")

@@ -9,11 +9,11 @@ os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from presswell.packaging import ship
     from presswell.session import build_session
 
-    session = build_session(master="local[4]", shuffle_partitions=4, memory="4g")
+    session = build_session(master="local[4]", shuffle_partitions=4, memory="4g", shared=f"file://{tmp_path_factory.mktemp('shared')}")
     ship(session)
     yield session
     session.stop()
