@@ -10,7 +10,11 @@ Prose share: tokens are taken in blocks of ``BLOCK``; combined rules separate
 prose from symbols and codes, from word lists and tables (few function words),
 from menus and link lists (one pattern over and over), from repetition, and
 from words in no order (class bigrams that prose hardly has). A text is a case
-if less than ``LEAST_PROSE`` of its characters are words in blocks of prose.
+if less than ``LEAST_PROSE`` of its characters are words in blocks of prose,
+or if it is mostly repetition as a whole, which blocks of otherwise good
+sentences don't show: one n-gram covers more than ``DOMINANT`` of its
+characters, or more than ``REPEATED`` of its lines, of its paragraphs or of
+the characters of its 5-grams stood in it before.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswell.llm.neardup import chunks
@@ -98,7 +102,7 @@ class Tokens:
         n = len(values) - width + 1
         if n <= 0:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        h = self.doc[:n].astype(np.uint64) + _U(1)
+        h = mix(self.doc[:n].astype(np.uint64) + _U(1))  # mixed first: a number next to a word's must not make another's
         for k in range(width):
             h = mix(h ^ values[k : k + n].astype(np.uint64)) + _U(0x9E3779B97F4A7C15)
         at = np.flatnonzero(self.doc[:n] == self.doc[width - 1 :])
@@ -215,6 +219,31 @@ def measure(texts: list, common: dict[str, int], costs: np.ndarray) -> pd.DataFr
 LISTED, STRANGE, USUAL, LETTERS = 6, 0.1, 0.1, 0.72
 #: A text with less prose than this share of its characters is not prose.
 LEAST_PROSE = 0.4
+#: Shares beyond which a text is repetition: of its most frequent n-gram (prose of the test tables
+#: has up to 0.14), and of lines, paragraphs and 5-grams seen before.
+DOMINANT, REPEATED = 0.3, 0.5
+
+
+def not_prose(repetition: bool = True) -> Column:
+    """The combined rule over the statistics; without ``repetition`` the prose share alone, for comparison."""
+    rule = F.col("prose_share") < LEAST_PROSE
+    if repetition:
+        rule = rule | (F.col("top_ngram_chars") > DOMINANT)
+        for share in ("duplicate_lines", "duplicate_paragraphs", "repeated_ngram_chars"):
+            rule = rule | (F.col(share) > REPEATED)
+    return (F.col("words") > 0) & rule
+
+
+#: So many function words at most: the table of class bigrams is (3 x (5 + so many)) squared, 78 MB.
+MOST_COMMON = 1_000
+
+
+def function_words(common: DataFrame) -> list[str]:
+    """The different words (word) in lower case, in order; their number is checked."""
+    found = [r[0] for r in common.select(F.lower("word")).where("word is not null").distinct().limit(MOST_COMMON + 1).collect()]
+    if len(found) > MOST_COMMON:
+        raise ValueError(f"common words are to be function words of a language, at most {MOST_COMMON:,}")
+    return sorted(found)
 
 
 def text_quality(texts: DataFrame, common: DataFrame) -> DataFrame:
@@ -223,12 +252,9 @@ def text_quality(texts: DataFrame, common: DataFrame) -> DataFrame:
     Other columns, whatever their names, come back in the struct ``extra``. Text that is NULL or blank has zeros
     everywhere and ``not_prose`` false: there is nothing in it. ``common`` has
     the column ``word``; its size is that of a language's function words and
-    is checked (at most 5,000).
+    is checked (at most ``MOST_COMMON``).
     """
-    found = [r[0] for r in common.select(F.lower("word")).where("word is not null").distinct().limit(5001).collect()]
-    if len(found) > 5000:
-        raise ValueError("common words are to be function words of a language, at most 5,000")
-    table = {w: i for i, w in enumerate(sorted(found))}
+    table = {w: i for i, w in enumerate(function_words(common))}
     costs = texts.sparkSession.sparkContext.broadcast(bigram_costs(texts, table))
 
     extra = [c for c in texts.columns if c not in ("doc", "text")]
@@ -247,4 +273,4 @@ def text_quality(texts: DataFrame, common: DataFrame) -> DataFrame:
         rows = rows.withColumn("extra", F.from_json("extra", kind))
     else:
         rows = rows.drop("extra")
-    return rows.withColumn("not_prose", (F.col("words") > 0) & (F.col("prose_share") < LEAST_PROSE))
+    return rows.withColumn("not_prose", not_prose())
