@@ -103,9 +103,13 @@ class PositionalIndex:
         at a time, so a task holds parts of 4 MB of text at once.
         """
         patterns = list(wanted)
-        terms = sorted({t for p in patterns for t, _ in p})
-        asked = self.spark.createDataFrame(pd.DataFrame({"term": np.array(terms, dtype=np.int64)}), "term long")
-        shared = self.spark.sparkContext.broadcast(patterns)
+        most = max(map(len, patterns))
+        # arrays, 10 bytes an anchor; patterns of fewer anchors repeat their first one
+        at = np.array([[t for t, _ in p] + [p[0][0]] * (most - len(p)) for p in patterns], dtype=np.int64)
+        off = np.array([[o for _, o in p] + [p[0][1]] * (most - len(p)) for p in patterns], dtype=np.int16)
+        terms, which_term = np.unique(at, return_inverse=True)
+        asked = self.spark.createDataFrame(pd.DataFrame({"term": terms}), "term long")
+        shared = self.spark.sparkContext.broadcast((terms, which_term.reshape(at.shape).astype(np.int32), off))
 
         def near(found: np.ndarray, places: np.ndarray) -> np.ndarray:
             i = np.searchsorted(places, found - spread)
@@ -114,28 +118,34 @@ class PositionalIndex:
             return found[ok]
 
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            lists = {t: unpack(p, w) for t, p, w in zip(frame["term"], frame["at"], frame["wide"], strict=True)}
+            terms, at, off = shared.value
+            lists: dict[int, np.ndarray] = {}
+            size = np.zeros(len(terms), dtype=np.int64)
+            for k, p, w in zip(np.searchsorted(terms, frame["term"].to_numpy()).tolist(), frame["at"], frame["wide"], strict=True):
+                lists[k] = unpack(p, w)
+                size[k] = len(lists[k])
             which, places = [], []
-            for k, pattern in enumerate(shared.value):
-                if any(t not in lists for t, _ in pattern):
-                    continue
-                found = lists[pattern[0][0]]
-                for term, offset in sorted(pattern[1:], key=lambda x: len(lists[x[0]])):
-                    found = near(found + offset, lists[term]) - offset
+            here = size[at]
+            for k in np.flatnonzero(here.min(1) > 0).tolist():  # all anchors are in this segment: from the rarest list on
+                order = np.argsort(here[k], kind="stable")
+                found = lists[int(at[k, order[0]])] - int(off[k, order[0]])
+                for a in order[1:].tolist():
+                    o = int(off[k, a])
+                    found = near(found + o, lists[int(at[k, a])]) - o
                     if not len(found):
                         break
                 if len(found):
                     which.append(np.full(len(found), k))
                     places.append(found)
-            size = sum(map(len, which))
-            return pd.DataFrame({"segment": np.full(size, frame["segment"].iloc[0]), "phrase": np.concatenate(which) if which else [], "at": np.concatenate(places) if places else []})
+            total = sum(map(len, which))
+            return pd.DataFrame({"segment": np.full(total, frame["segment"].iloc[0]), "phrase": np.concatenate(which) if which else [], "at": np.concatenate(places) if places else []})
 
         lists = self.postings().join(F.broadcast(asked), "term")
         return lists.groupBy("segment").applyInPandas(run, "segment long, phrase int, at long")
 
 
 def item_blocks(items: DataFrame, words: int = 200_000) -> Iterator[list[tuple[int, list[str]]]]:
-    """The query set in blocks of about so many words: (item, its words)."""
+    """The query set in blocks of about so many words, each one pass over the index with some 12 MB of anchors: (item, its words)."""
     block: list[tuple[int, list[str]]] = []
     size = 0
     for row in items.where("item is not null").select("item", "passage").distinct().toLocalIterator():
