@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswell.session import materialize
+from presswell.session import discard, materialize
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         chained = current.join(current.select(F.col("u").alias("v")), "v", "left_semi").select("u")
         if several.unionByName(chained).isEmpty():
             break
-        current = materialize(_star(_star(current, True), False), "links")
+        before, current = current, materialize(_star(_star(current, True), False), "links")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

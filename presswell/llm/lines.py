@@ -24,7 +24,7 @@ from presswell.llm.components import connected_components
 from presswell.llm.neardup import chunks
 from presswell.llm.shingles import mix
 from presswell.operators.lookup import looked_up
-from presswell.session import materialize
+from presswell.session import discard, materialize
 
 WIDTH, BANDS, ROWS = 5, 3, 3
 _U = np.uint64
@@ -166,6 +166,7 @@ def repeated_lines(docs: DataFrame, least_docs: int = 5, least_share: float = 0.
     counted = per_doc.groupBy("site", "key", "cluster").agg(F.count("*").alias("line_docs"))
     sizes = per_doc.select("site", "cluster", "doc").distinct().groupBy("site", "cluster").agg(F.count("*").alias("cluster_docs"))
     counted = materialize(looked_up(counted.join(sizes, ["site", "cluster"]), totals, ["site"]), "counted")
+    discard(buckets, members, keys, per_doc, totals)
     found = looked_up(places.select("doc", "site", "line_no", "key"), counted, ["site", "key"])
     summary = counted.groupBy("site", "cluster").agg(
         F.count("*").alias("lines"), F.max("cluster_docs").alias("cluster_docs"), F.max("line_docs").alias("line_docs"), F.max("needed").alias("needed")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from presswell.llm.components import connected_components
 from presswell.llm.shingles import mix, shingle_batch, similarity
-from presswell.session import materialize
+from presswell.session import discard, materialize
 
 #: (least size of the larger text, classes m), largest first; the classes grow with
 #: the texts, so that a text of n shingles has about n keys however long it is.
@@ -397,6 +397,7 @@ def near_duplicate_links(
     sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
     rest = x.join(y, meets & sizes & _could_match(threshold)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     rest = materialize(_verified(rest.join(links, ["a", "b"], "left_anti"), docs, width, threshold), "rest")
+    discard(found, open_)
     return links.unionByName(rest), copies, labels if rest.isEmpty() else None
 
 

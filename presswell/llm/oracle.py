@@ -83,6 +83,14 @@ SELECT article_id, CAST(len(t) AS INTEGER) AS words, CAST(length(coalesce(conten
   article_length_words, sentence_count, article_length_words <> len(t) AS words_differ
 FROM t
 """,
+    "p6_duplicates": _COMPLETED
+    + """, t AS (SELECT article_id, coalesce(content_clean, '') AS t FROM cur),
+l AS (SELECT article_id, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '') AS w,
+  list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> '') AS l,
+  list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM t)
+SELECT article_id, CAST(len(w) AS INTEGER) AS words, CASE WHEN len(l) = 0 THEN 0.0 ELSE round(1 - len(list_distinct(l)) / len(l), 6) END AS duplicate_lines,
+  CASE WHEN len(p) = 0 THEN 0.0 ELSE round(1 - len(list_distinct(p)) / len(p), 6) END AS duplicate_paragraphs FROM l""",
+    "p10_prefixes": "SELECT DISTINCT d.doc_id FROM documents d JOIN documents e ON d.text <> '' AND length(e.text) > length(d.text) AND starts_with(e.text, d.text)",
     "p8_found": _RUNS + "SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (size, run)",
     "p5_found": _SITED + " SELECT id, line_no FROM gone",
     "p9_found": """

@@ -12,7 +12,7 @@ from presswell.llm.hashforest import batch_duplicates, batch_links
 from presswell.llm.leaks import leaks
 from presswell.llm.neardup import near_duplicate_groups
 from presswell.llm.oracle import ORACLE
-from presswell.llm.quality import text_quality
+from presswell.llm.quality import function_words, text_quality
 from presswell.session import materialize
 from presswell.sources.tables import read_table
 
@@ -86,15 +86,20 @@ def p6_stats(spark: SparkSession, folder: str) -> DataFrame:
     return _quality(spark, folder).withColumnRenamed("doc", "article_id").select("*", "extra.*").drop("extra")
 
 
+def p6_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and the shares of lines and paragraphs that repeat earlier ones, of every COMPLETED article."""
+    shares = [F.round(c, 6).alias(c) for c in ("duplicate_lines", "duplicate_paragraphs")]
+    return _quality(spark, folder).select(F.col("doc").alias("article_id"), "words", *shares)
+
+
 def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The plain counts, by built-in expressions only, beside the stored ones."""
-    common = read_table(spark, folder, "common_words").select(F.lower("word").alias("w")).distinct()
-    words = F.broadcast(common.agg(F.collect_list("w").alias("list")))  # function words of a language
+    words = function_words(read_table(spark, folder, "common_words"))
     text = F.coalesce("text", F.lit(""))
-    rows = news.completed_texts(spark, folder).withColumn("t", F.array_remove(F.split(text, r"[ \n\r\t]+"), "")).crossJoin(words)
+    rows = news.completed_texts(spark, folder).withColumn("t", F.array_remove(F.split(text, r"[ \n\r\t]+"), ""))
     return rows.select(
         F.col("doc").alias("article_id"), F.size("t").alias("words"), F.char_length(text).alias("chars"),
-        F.size(F.filter("t", lambda x: F.array_contains(F.col("list"), F.lower(x)))).alias("common_words"),
+        F.size(F.filter("t", lambda x: F.lower(x).isin(words))).alias("common_words"),
         "article_length_words", "sentence_count",
         (F.col("article_length_words") != F.size("t")).alias("words_differ"),
     )
@@ -180,6 +185,12 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.truncation(_documents(spark, folder)).where("cut").select(F.col("doc").alias("doc_id"))
 
 
+def p10_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose whole text is a strict prefix of another one's."""
+    texts = read_table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("body"))
+    return truncation.strict_prefixes(texts).select(F.col("doc").alias("doc_id")).distinct()
+
+
 def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     """How often each source's documents are cut, and at which length most often."""
     return truncation.truncation_rates(truncation.truncation(_documents(spark, folder)))
@@ -196,6 +207,7 @@ QUERIES = {
     "p5_remains": p5_remains,
     "p6_found": p6_found,
     "p6_stats": p6_stats,
+    "p6_duplicates": p6_duplicates,
     "p6_counts": p6_counts,
     "p7_found": p7_found,
     "p7_restored": p7_restored,
@@ -208,5 +220,6 @@ QUERIES = {
     "p9_check": p9_check,
     "p9_sizes": p9_sizes,
     "p10_found": p10_found,
+    "p10_prefixes": p10_prefixes,
     "p10_rates": p10_rates,
 }

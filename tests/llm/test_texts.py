@@ -160,6 +160,33 @@ def test_prose_and_junk(spark, nasty):
     assert empty.count() == 0
 
 
+def test_repetition_rules_find_what_blocks_of_prose_hide(spark):
+    """Labelled ablation: lines and paragraphs that stand twice or three times, and short loops; some of them the prose share alone misses."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(900)]
+    word = lambda: rng.choice(vocabulary)
+    forms = [
+        lambda: f"The {word()} {word()} the {word()} on Monday, but the {word()} was not {word()}.", lambda: f"When a {word()} is {word()}, it has to be {word()} by a {word()} of the {word()}.",
+        lambda: f"They {word()} their {word()} for as long as there are {word()} in a {word()}.", lambda: f"No {word()} would have {word()} an old {word()} from the {word()} since May.",
+    ]
+    sentence = lambda: rng.choice(forms)()
+    nine = [sentence() for _ in range(9)]
+    planted = {1: "\n".join([*nine, *nine, *nine[:3]]), 2: "\n\n".join(x for _ in range(3) for x in [sentence() + " " + sentence()] * 3), 3: sentence() + " Call the desk now." * 30}
+    prose = {10 + i: "\n".join(" ".join(sentence() for _ in range(3)) for _ in range(4)) for i in range(120)}
+    df = spark.createDataFrame([*planted.items(), *prose.items()], "doc long, text string")
+    found = quality.text_quality(df, spark.createDataFrame([(w,) for w in COMMON], "word string"))
+    got = {r.doc for r in found.where("not_prose").collect()}
+    alone = {r.doc for r in found.where(quality.not_prose(repetition=False)).collect()}
+    assert got == set(planted) and 1 not in alone
+
+
+def test_ngrams_of_different_texts_are_apart():
+    texts = [f"w{i} x{j} y{i} z{j}" for i in range(12) for j in range(12)]
+    t = quality.Tokens(texts, {})
+    _, h = t.grams(t.code, 2)
+    assert len(np.unique(h)) == len(h)
+
+
 # -- encoding ----------------------------------------------------------------
 CLEAN = ["The café’s owner said “no” – again.", "Zoë paid £40m in São Velmor, near Ålvik.", "Renée’s façade cost €12m; a naïve estimate.", "Âmbarine and Ãvela Quay, 25 °C.", "The fiancé’s plan – “open ledger” – met Łuke Örel.", "සිංහල පෙළ", "தமிழ் உரை"]
 
