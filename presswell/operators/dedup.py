@@ -72,10 +72,13 @@ def near_pairs(texts: DataFrame, threshold: float = NEAR_DUPLICATE_COSINE, stopw
     tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(by_rarity))
     head = weights.withColumn("tail", tail).where(F.col("tail") >= threshold - 1e-9).select("day", "term", "doc")
     pairs = head.withColumnRenamed("doc", "a").join(head.withColumnRenamed("doc", "b"), ["day", "term"]).where("a < b").select("day", "a", "b").distinct()
-    left = weights.select("day", F.col("doc").alias("a"), "term", F.col("w").alias("wa"))
-    right = weights.select("day", F.col("doc").alias("b"), "term", F.col("w").alias("wb"))
-    both = pairs.join(left, ["day", "a"]).join(right, ["day", "b", "term"])
-    return both.groupBy("day", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    # each text's weights as one row; terms in one order, so that sums are the same whatever the partitions
+    packed = weights.groupBy("day", "doc").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v"))
+    side = lambda name: packed.select("day", F.col("doc").alias(name), F.map_from_entries("v").alias(f"v{name}"))
+    both = pairs.join(side("a"), ["day", "a"]).join(side("b"), ["day", "b"])
+    shared = F.array_intersect(F.map_keys("va"), F.map_keys("vb"))
+    dot = F.aggregate(shared, F.lit(0.0), lambda s, t: s + F.element_at("va", t) * F.element_at("vb", t))
+    return both.select("day", "a", "b", dot.alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
 def greedy_marks(pairs: DataFrame) -> DataFrame:

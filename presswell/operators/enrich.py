@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from presswell.config import ENTITY_MAX_CHARS, NEGATIVE, POSITIVE, STOPWORDS
 from presswell.functions.scoring import entity_type
 from presswell.functions.text import strip, tokens
+from presswell.operators.lookup import looked_up
+from presswell.session import materialize
 
 
 def lexicon_sentiment(text: Column, positive=POSITIVE, negative=NEGATIVE) -> tuple[Column, Column]:
@@ -68,13 +70,20 @@ def ngrams(text: Column, stopwords=STOPWORDS) -> Column:
 
 
 def keyword_scores(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
-    """(article_id, keyword, score): TF-IDF of words and pairs over all articles."""
-    terms = articles.select("article_id", F.explode(ngrams(F.col("content_clean"), stopwords)).alias("keyword"))
-    tf = terms.groupBy("article_id", "keyword").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("keyword").agg(F.count("*").alias("df"))
-    n = articles.agg(F.count("*").alias("n"))  # one row
-    weighted = tf.join(df, "keyword").join(F.broadcast(n))
-    return weighted.select("article_id", "keyword", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("score"))
+    """(article_id, keyword, score): TF-IDF of words and pairs over all articles; ``articles`` has each article once.
+
+    Articles are spread by id once and stay so: term counts and ranks per
+    article need no further shuffle. Only keywords of two articles or more
+    are looked up; the many others have a document frequency of 1.
+    """
+    placed = articles.select("article_id", ngrams(F.col("content_clean"), stopwords).alias("terms")).repartition("article_id")
+    df = placed.select(F.explode(F.array_distinct("terms")).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("df"))
+    df = materialize(df.where("df > 1"), "frequencies")
+    tf = placed.select("article_id", F.explode("terms").alias("keyword")).groupBy("article_id", "keyword").agg(F.count("*").alias("tf"))
+    n = F.lit(articles.count())
+    known = F.coalesce("df", F.lit(1).cast("long"))
+    weighted = looked_up(tf, df, ["keyword"], "left")
+    return weighted.select("article_id", "keyword", (F.col("tf") * (F.log((1 + n) / (1 + known)) + 1)).alias("score"))
 
 
 def top_keywords(scores: DataFrame, n: int = 10) -> DataFrame:
