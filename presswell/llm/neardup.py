@@ -392,8 +392,11 @@ def near_duplicate_links(
     labelled = members.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(labelled.join(mixed, "key", "left_semi").join(marks.drop("set_hash"), "doc"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
+    # similar texts lie in the same or in neighbouring size classes: that prunes the pairs of a bucket and splits it
+    size = F.floor(F.log("n") / F.lit(float(-np.log(threshold)) * (1 + 1e-6) + 1e-6)).cast("int")  # a little wider than the ratio
+    x = open_.withColumn("size", size).alias("x")
+    y = open_.withColumn("size", F.explode(F.array(size - 1, size, size + 1))).alias("y")
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.component") != F.col("y.component"))
     sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
     rest = x.join(y, meets & sizes & _could_match(threshold)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
     rest = materialize(_verified(rest.join(links, ["a", "b"], "left_anti"), docs, width, threshold), "rest")
