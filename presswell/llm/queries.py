@@ -74,7 +74,7 @@ def p5_remains(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
-    return text_quality(news.completed_texts(spark, folder), read_table(spark, folder, "common_words"))
+    return text_quality(materialize(news.completed_texts(spark, folder), "completed"), read_table(spark, folder, "common_words"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
