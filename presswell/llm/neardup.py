@@ -43,6 +43,7 @@ TIERS = tuple((72 * 9**k, 40 * 9**k) for k in range(8, -1, -1)) + ((24, 12), (8,
 BITMAP = 8  # 64-bit words
 _U = np.uint64
 _CHARS = 4_000_000
+_TASK_BYTES = 32 << 20
 _PLAIN, _HOT = -1, -2  # instead of a leader: an ordinary posting, the leader's own one
 
 
@@ -245,7 +246,7 @@ def _postings(docs: DataFrame, width: int, threshold: float, rare: int, small: i
     return docs.select("doc", "text", "set_hash").mapInPandas(run, "key long, doc long, n int, leader long")
 
 
-def _buckets(postings: DataFrame, threshold: float, small: int) -> DataFrame:
+def _buckets(postings: DataFrame, threshold: float, small: int, parts: int) -> DataFrame:
     """Candidate links and the members of large buckets, in one pass over sorted postings.
 
     Rows (kind, key, a, na, b, nb): kind 0 is a candidate link, kind 1 says
@@ -315,7 +316,7 @@ def _buckets(postings: DataFrame, threshold: float, small: int) -> DataFrame:
 
     # members of buckets that are hot within a batch are spread over all tasks
     route = F.when(F.col("leader") < 0, F.col("key")).otherwise(F.xxhash64("key", "doc"))
-    sorted_ = postings.withColumn("route", route).repartition("route").sortWithinPartitions("key", "doc").drop("route")
+    sorted_ = postings.withColumn("route", route).repartition(parts, "route").sortWithinPartitions("key", "doc").drop("route")
     return sorted_.mapInPandas(run, schema)
 
 
@@ -376,7 +377,9 @@ def near_duplicate_links(
     listed = spark.sparkContext.broadcast(frequent_tokens(docs, width, most, ranges))
     level = int(np.ceil(4 * np.log2(rare)))
     postings = _postings(docs, width, threshold, level, small, ranges, listed)
-    found = materialize(_buckets(postings, threshold, small), "buckets")
+    # tasks of a bounded size: a text has about 90 postings of 28 bytes
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + docs.count() * 90 * 28 // _TASK_BYTES)
+    found = materialize(_buckets(postings, threshold, small, parts), "buckets")
 
     marks = docs.select("doc", "n", "set_hash", *(f"bits{k}" for k in range(BITMAP)))
     pairs = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -86,7 +86,7 @@ def test_a_bucket_hot_in_one_chunk_meets_the_other_chunks(spark):
     for r in postings.collect():
         texts[r.key].add(r.doc)
     links, members = set(), defaultdict(set)
-    for r in _buckets(postings, 0.6, 16).collect():
+    for r in _buckets(postings, 0.6, 16, 4).collect():
         members[r.key].add(r.b) if r.kind else links.add(frozenset((r.a, r.b)))
     assert {r.doc for r in postings.collect() if r.leader >= 0} == set(range(1, 50))
     for key, found in texts.items():
