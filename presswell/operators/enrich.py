@@ -72,11 +72,11 @@ def ngrams(text: Column, stopwords=STOPWORDS) -> Column:
 def keyword_scores(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
     """(article_id, keyword, score): TF-IDF of words and pairs over all articles; ``articles`` has each article once.
 
-    Articles are spread by id once and stay so: term counts and ranks per
+    Texts are spread by id before they are split, and stay so: term counts and ranks per
     article need no further shuffle. Only keywords of two articles or more
     are looked up; the many others have a document frequency of 1.
     """
-    placed = articles.select("article_id", ngrams(F.col("content_clean"), stopwords).alias("terms")).repartition("article_id")
+    placed = articles.select("article_id", "content_clean").repartition("article_id").select("article_id", ngrams(F.col("content_clean"), stopwords).alias("terms"))
     df = placed.select(F.explode(F.array_distinct("terms")).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("df"))
     df = materialize(df.where("df > 1"), "frequencies")
     tf = placed.select("article_id", F.explode("terms").alias("keyword")).groupBy("article_id", "keyword").agg(F.count("*").alias("tf"))

@@ -139,6 +139,11 @@ def process_existing_news(spark, folder):
     return rows.select("article_id", "processing_status", "duplicate_status", "duplicate_of", "publication_date")
 
 
+def process_existing_status(spark, folder):
+    """The same without what is said of duplicates."""
+    return process_existing_news(spark, folder).drop("duplicate_status", "duplicate_of")
+
+
 def process_new_news(spark, folder):
     """What the same articles become when they come in as new ones."""
     raw = _raw(spark, folder).select("id", "title", "content", "date", "link")
@@ -177,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         news_article_dataset, news_keyword_dataset, news_panel, needing_sentiment, needing_keywords, labelled_sample, label_rejects, label_categories,
-        stored_panel, batch_check, process_existing_news, process_new_news, seeded_events, topic_stage, news_signals, full_evaluation,
+        stored_panel, batch_check, process_existing_news, process_existing_status, process_new_news, seeded_events, topic_stage, news_signals, full_evaluation,
     )
 }
 
@@ -197,6 +202,19 @@ _E = ", ".join(f"CAST(count(*) FILTER (entity_type = '{t}') AS INTEGER) AS {c}"
 _ZERO = ", ".join(f"coalesce({c}, 0) AS {c}" for c in [*config.KEYWORD_GROUPS, *config.ENTITY_GROUPS])
 _EVENT_ROWS = ", ".join(f"('{n}', '{k}', DATE '{a}', " + (f"DATE '{z}'" if z else "NULL") + ")" for n, k, a, z in config.EVENT_SEED)
 
+_STATUS = "CASE WHEN ex.m IS NOT NULL THEN 'EXACT_DUPLICATE' WHEN near.m IS NOT NULL THEN 'NEAR_DUPLICATE' ELSE 'UNIQUE' END"
+#: Of new articles n (article_id, content_clean, publication_date, h): the least exact match ex.m and near match near.m among known and new ones.
+_CHECKED = f"""known AS (SELECT * FROM {sql.COMPLETED} WHERE article_id NOT IN (SELECT article_id FROM n)),
+others AS (SELECT content_hash AS h, article_id AS id, duplicate_of AS of, true AS old FROM known UNION ALL SELECT h, article_id, NULL, false FROM n),
+ex AS (SELECT n.article_id, min(o.id) AS m FROM n JOIN others o ON o.h = n.h AND CASE WHEN old THEN coalesce(o.of <> n.article_id, true) ELSE o.id < n.article_id END GROUP BY 1),
+around AS (SELECT article_id, publication_date, content_clean, duplicate_of FROM known WHERE coalesce(duplicate_status, 'EXACT_DUPLICATE') <> 'EXACT_DUPLICATE' AND publication_date IN (SELECT publication_date FROM n WHERE publication_date IS NOT NULL)),
+src AS (SELECT article_id AS doc, publication_date AS day, content_clean AS text FROM around UNION ALL SELECT article_id, publication_date, content_clean FROM n WHERE article_id NOT IN (SELECT article_id FROM ex)),
+{sql._pairs('src')}, sides AS (SELECT a AS x, b AS o FROM pairs UNION ALL SELECT b, a FROM pairs),
+near AS (SELECT x, min(o) AS m FROM sides LEFT JOIN around ON around.article_id = o WHERE x IN (SELECT article_id FROM n) AND CASE WHEN around.article_id IS NULL THEN o < x ELSE coalesce(duplicate_of <> x, true) END GROUP BY x)"""
+#: Raw articles that are not processed or failed, with what validation and dates make of them.
+_TODO = f"""todo AS (SELECT id AS article_id, content, CASE WHEN {sql._REASON} = '' THEN 'COMPLETED' ELSE 'FAILED' END AS processing_status, CASE WHEN {sql._REASON} = '' THEN {sql._date('date')} END AS publication_date
+  FROM {sql.RAW} WHERE id NOT IN (SELECT article_id FROM {sql.PROCESSED} WHERE processing_status IS DISTINCT FROM 'FAILED'))"""
+
 ORACLE = {
     "news_article_dataset": f"WITH {_DATASET} SELECT * FROM articles",
     "news_keyword_dataset": f"WITH {_KEYWORD_ROWS} SELECT * FROM keywords",
@@ -212,15 +230,14 @@ SELECT article_id FROM {sql.COMPLETED} WHERE article_id NOT IN (SELECT article_i
     "label_rejects": f"SELECT lower(trim(entity_type)) AS entity_type, count(*) AS n FROM article_entities WHERE entity_type IS NULL OR lower(trim(entity_type)) NOT IN ('person', 'organization', 'location') GROUP BY 1",
     "label_categories": f"SELECT series, CASE label_pre_crisis WHEN 1 THEN 'green' WHEN 0 THEN 'gray' ELSE 'red' END AS colour, count(*) AS n FROM {sql.WEEKLY} GROUP BY ALL",
     "stored_panel": NEWS_ORACLE["full_signal_panel"],
-    "batch_check": f"""WITH n AS (SELECT article_id, content_clean, publication_date, {sql._HASH} AS h FROM {sql._newest('news_batches', 'article_id', 'received_at')}),
-known AS (SELECT * FROM {sql.COMPLETED} WHERE article_id NOT IN (SELECT article_id FROM n)),
-others AS (SELECT content_hash AS h, article_id AS id, duplicate_of AS of, true AS old FROM known UNION ALL SELECT h, article_id, NULL, false FROM n),
-ex AS (SELECT n.article_id, min(o.id) AS m FROM n JOIN others o ON o.h = n.h AND CASE WHEN old THEN coalesce(o.of <> n.article_id, true) ELSE o.id < n.article_id END GROUP BY 1),
-around AS (SELECT article_id, publication_date, content_clean, duplicate_of FROM known WHERE coalesce(duplicate_status, 'EXACT_DUPLICATE') <> 'EXACT_DUPLICATE' AND publication_date IN (SELECT publication_date FROM n WHERE publication_date IS NOT NULL)),
-src AS (SELECT article_id AS doc, publication_date AS day, content_clean AS text FROM around UNION ALL SELECT article_id, publication_date, content_clean FROM n WHERE article_id NOT IN (SELECT article_id FROM ex)),
-{sql._pairs('src')}, sides AS (SELECT a AS x, b AS o FROM pairs UNION ALL SELECT b, a FROM pairs),
-near AS (SELECT x, min(o) AS m FROM sides LEFT JOIN around ON around.article_id = o WHERE x IN (SELECT article_id FROM n) AND CASE WHEN around.article_id IS NULL THEN o < x ELSE coalesce(duplicate_of <> x, true) END GROUP BY x)
-SELECT n.article_id, CASE WHEN ex.m IS NOT NULL THEN 'EXACT_DUPLICATE' WHEN near.m IS NOT NULL THEN 'NEAR_DUPLICATE' ELSE 'UNIQUE' END AS duplicate_status, coalesce(ex.m, near.m) AS duplicate_of
-FROM n LEFT JOIN ex USING (article_id) LEFT JOIN near ON near.x = n.article_id""",
+    "batch_check": f"""WITH n AS (SELECT article_id, content_clean, publication_date, {sql._HASH} AS h FROM {sql._newest('news_batches', 'article_id', 'received_at')}), {_CHECKED}
+SELECT n.article_id, {_STATUS} AS duplicate_status, coalesce(ex.m, near.m) AS duplicate_of FROM n LEFT JOIN ex USING (article_id) LEFT JOIN near ON near.x = n.article_id""",
+    "process_existing_status": f"""WITH {_TODO}
+SELECT article_id, processing_status, publication_date FROM todo
+UNION ALL SELECT article_id, processing_status, publication_date FROM {sql.PROCESSED} WHERE article_id NOT IN (SELECT article_id FROM todo)""",
+    "process_new_news": f"""WITH {_TODO},
+n AS (SELECT article_id, content_clean, publication_date, {sql._HASH} AS h FROM (SELECT article_id, {sql._clean('content')} AS content_clean, publication_date FROM todo WHERE processing_status = 'COMPLETED')), {_CHECKED}
+SELECT todo.article_id, todo.processing_status, CASE WHEN todo.processing_status = 'COMPLETED' THEN {_STATUS} END AS duplicate_status, coalesce(ex.m, near.m) AS duplicate_of, todo.publication_date
+FROM todo LEFT JOIN ex USING (article_id) LEFT JOIN near ON near.x = todo.article_id""",
     "seeded_events": f"SELECT event_name, crisis_type, start_date, end_date FROM crisis_events UNION ALL SELECT * FROM (VALUES {_EVENT_ROWS}) AS v(event_name, crisis_type, start_date, end_date) WHERE event_name NOT IN (SELECT event_name FROM crisis_events)",
 }
