@@ -5,22 +5,26 @@ records. Then each stretch of non-ASCII characters of a field is run through
 every chain of encode and decode steps (one code page after another, up to
 ``STEPS`` of them, the last step UTF-8); the candidates are scored in their
 surroundings, and the likeliest is accepted if it beats the stretch as it
-stands by more than a margin. The margin is validated on clean fields that
-the model was not trained on: their stretches are garbled by every page and
-every pair of pages, and rightly written stretches are made of their letters and of
-marks that follow letters, which some chain could undo all the same. It is set where the share
-of the former that would be missed and that of the latter that would be
-changed are least together.
-
-Characters fall into a bounded number of classes, and trigrams into a bounded
-table, so the model has one size whatever the corpus; counts cover all of it.
+stands by more than a margin. The margin is validated on every stretch of every
+clean field, by cross-fitting: the fields fall into ``FOLDS`` parts, and those
+of a part are scored by the counts of the others. The stretches are garbled by
+every page and every pair of pages, and rightly written stretches that some
+chain could undo all the same are made where a mark follows a letter, for any
+other letter of the corpus and of the same case could stand there. The margin is
+set where the share of the former that would be missed and that of the latter
+that would be changed are least together.
+
+Characters fall into a bounded number of classes, trigrams into a bounded table
+and gains into bounded steps, so model and margin have one size whatever the
+corpus; counts cover all of it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presswell.llm.neardup import chunks
+from presswell.session import discard, materialize
 
 #: Code pages text is wrongly read by.
 PAGES = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp1251", "iso8859_2", "cp1254", "cp1253", "cp1257", "iso8859_15", "cp437", "cp850", "cp866", "koi8_r", "mac_cyrillic")
@@ -36,8 +41,18 @@ STEPS = 3
 CLASSES, BITS = 2048, 20
 TABLE = 1 << BITS
 SIDE = 3
-#: One clean field in so many, by the hash of its text, is kept out of the training.
-HELD_OUT = 16
+SLOTS = 2 * TABLE + CLASSES
+#: Parts of the clean fields, by the hash of the text; each is scored by a model of the others.
+FOLDS = 4
+#: Margins tried lie so far apart; gains beyond the last one are counted as beyond it.
+STEP, TOP = 1 / 256, 256
+BINS = int(TOP / STEP)
+#: Places a task scores, about; each stands for some 200 garbled ones.
+PLACES = 20_000
+#: What stretches are garbled by: every page, every pair of pages, and one page three times.
+CHAINS = (*((p,) for p in PAGES), *((p, q) for p in PAGES for q in PAGES), *((p, p, p) for p in PAGES))
+#: Seams remembered, of 2 KB each, and characters, seams or places handled at once.
+SEAMS, _AT_ONCE = 20_000, 2_000
 RUN = re.compile(r"[^\x00-\x7f]+")
 #: What no rightly decoded news text has: the replacement character and C1 controls.
 BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
@@ -179,27 +194,53 @@ def suspicious(text: str) -> bool:
     return bool(BROKEN.search(text)) or any(candidates(r) for r in set(RUN.findall(text)))
 
 
-def train(fields: DataFrame) -> Model:
-    """Count classes, bigrams and trigrams over every clean field (text)."""
+def tally(fields: DataFrame) -> DataFrame:
+    """Over every clean field (text), by fold: how often each slot is met, and with slot -1 each different place of a stretch, -2 each letter, small and capital."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * TABLE + CLASSES, dtype=np.int64)
+        total = np.zeros((FOLDS, SLOTS), dtype=np.int64)
         for frame in chunks(frames, "text"):
-            clean = [t for t in frame["text"] if t and not suspicious(t)]
-            if not clean:
-                continue
-            c = classes_of("\n\n" + "\n\n".join(clean))
-            t, b = _slots(c)
-            total[:TABLE] += np.bincount(t, minlength=TABLE)
-            total[TABLE : 2 * TABLE] += np.bincount(b, minlength=TABLE)
-            total[2 * TABLE :] += np.bincount(c, minlength=CLASSES)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at, "n": total[at]})
+            places: dict[tuple[int, str, str, str], None] = {}
+            for fold, texts in frame.groupby("fold")["text"]:
+                clean = [t for t in texts if t and not suspicious(t)]
+                if not clean:
+                    continue
+                c = classes_of("\n\n" + "\n\n".join(clean))
+                t, b = _slots(c)
+                total[fold, :TABLE] += np.bincount(t, minlength=TABLE)
+                total[fold, TABLE : 2 * TABLE] += np.bincount(b, minlength=TABLE)
+                total[fold, 2 * TABLE :] += np.bincount(c, minlength=CLASSES)
+                for text in clean:
+                    for m in RUN.finditer(text):
+                        places[fold, text[max(0, m.start() - SIDE) : m.start()], m.group(), text[m.end() : m.end() + SIDE]] = None
+            letters = letters_of(run for _, _, run, _ in places)
+            rows = [(fold, -1, 1, before, run, after) for fold, before, run, after in places] + [(0, -2, 1, "", letter, "") for letter in letters]
+            yield pd.DataFrame(rows, columns=["fold", "slot", "n", "before", "run", "after"])
+        fold, slot = np.nonzero(total)
+        yield pd.DataFrame({"fold": fold, "slot": slot, "n": total[fold, slot], "before": "", "run": "", "after": ""})
+
+    folded = fields.select("text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = folded.mapInPandas(count, "fold int, slot int, n long, before string, run string, after string")
+    return rows.groupBy("fold", "slot", "before", "run", "after").agg(F.sum("n").alias("n"))
+
+
+class Counts(NamedTuple):
+    """How often the slots were met, by fold: slots and numbers."""
+
+    parts: list[tuple[np.ndarray, np.ndarray]]
 
-    rows = fields.select("text").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(2 * TABLE + CLASSES, dtype=np.float64)
-    total[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return Model(total[:TABLE], total[TABLE : 2 * TABLE], total[2 * TABLE :])
+    def model(self, without: int | None = None) -> Model:
+        """The model of all clean fields, or of all but those of a fold."""
+        total = np.zeros(SLOTS, dtype=np.float64)
+        for fold, (slot, n) in enumerate(self.parts):
+            if fold != without:
+                total[slot] += n
+        return Model(total[:TABLE], total[TABLE : 2 * TABLE], total[2 * TABLE :])
+
+
+def counts_of(tallied: DataFrame) -> Counts:
+    rows = tallied.where("slot >= 0").select("fold", "slot", "n").toPandas()
+    return Counts([(part["slot"].to_numpy(np.int32), part["n"].to_numpy()) for part in (rows[rows["fold"] == k] for k in range(FOLDS))])
 
 
 def gain(model: Model, before: str, run: str, candidate: str, after: str) -> float:
@@ -220,6 +261,166 @@ def best(model: Model, text: str, start: int, end: int) -> tuple[float, str]:
     return max(((gain(model, before, run, c, after), c) for c in fitting(model, run)), default=(0.0, run))
 
 
+@lru_cache(maxsize=None)
+def _reading(page: str) -> tuple[dict[int, str], bytes]:
+    """Characters a page's bytes are read as, and the bytes that come back from them."""
+    read = {b: decoder(page).get(b, chr(b)) for b in range(128, 256)}
+    return read, bytes(b for b, c in read.items() if encoder(page).get(c) == b)
+
+
+def _misread(text: str, page: str) -> str | None:
+    """``garble`` of non-ASCII text; None if ``undo`` doesn't give the text back."""
+    read, kept = _reading(page)
+    try:
+        data = text.encode("utf-8")
+    except UnicodeEncodeError:
+        return None
+    return None if data.translate(None, kept) else data.decode("latin-1").translate(read)
+
+
+class Readings(NamedTuple):
+    """What a character becomes by every chain: the texts, the classes of their first and last two characters, a name that equal texts share, and whether they can be undone."""
+
+    texts: list[str]
+    head: np.ndarray
+    tail: np.ndarray
+    name: np.ndarray
+    kept: np.ndarray
+
+
+@lru_cache(maxsize=1000)
+def readings(c: str) -> Readings:
+    read: dict[tuple[str, ...], str | None] = {(): c}
+    for chain in sorted({chain[:k] for chain in CHAINS for k in range(1, len(chain) + 1)}, key=len):
+        before = read[chain[:-1]]
+        read[chain] = None if before is None else _misread(before, chain[-1])
+    texts = [read[chain] or "" for chain in CHAINS]
+    ends = np.array([classes_of(t[:2] + t[-2:]) if t else [0] * 4 for t in texts], dtype=np.int64)
+    name = pd.util.hash_array(np.array([c + t for t in texts], dtype=object), categorize=False)
+    return Readings(texts, ends[:, :2], ends[:, 2:], name, np.array([t != "" for t in texts]))
+
+
+class Garbler:
+    """Costs of stretches garbled by every chain.
+
+    A chain reads each character by itself, as two characters or more, so the
+    cost of a garbled stretch is the sum of costs within its characters' texts
+    and of those at the seams: the first two characters after a seam, given
+    the two before it. Seams with the surroundings are alike.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.within: dict[str, np.ndarray] = {}
+        self.seams: dict[tuple[str, str], np.ndarray] = {}
+
+    @staticmethod
+    def _ends(unit: str, tail: bool) -> np.ndarray:
+        """Classes of the two characters of a unit next to a seam: a non-ASCII character as read by every chain, other texts as they are."""
+        if len(unit) == 1 and ord(unit) > 127:
+            return readings(unit).tail if tail else readings(unit).head
+        return np.broadcast_to(classes_of(unit.ljust(2)), (len(CHAINS), 2))
+
+    def know(self, seams: Iterable[tuple[str, str]]) -> None:
+        """Have the costs of these seams at hand."""
+        new = list(dict.fromkeys(s for s in seams if s not in self.seams))
+        if len(self.seams) + len(new) > SEAMS:
+            self.seams.clear()
+            new = list(dict.fromkeys(seams))
+        for k in range(0, len(new), 256):
+            some = new[k : k + 256]
+            c = np.concatenate([np.stack([self._ends(x, True) for x, _ in some]), np.stack([self._ends(y, False) for _, y in some])], axis=2)
+            cost = np.append([0.0, 0.0], self.model._costs(c.ravel())).reshape(c.shape)[:, :, 2:]
+            whole = np.array([len(y) > 1 or ord(y) > 127 for _, y in some])
+            self.seams.update(zip(some, cost[:, :, 0] + cost[:, :, 1] * whole[:, None], strict=True))
+
+    def cost(self, run: str) -> np.ndarray:
+        """Costs of a garbled stretch but for its outer seams, by chain."""
+        total = np.zeros(len(CHAINS))
+        for c in run:
+            if c not in self.within:
+                if len(self.within) >= SEAMS:
+                    self.within.clear()
+                self.within[c] = self.model.costs(readings(c).texts)
+            total += self.within[c]
+        for k in range(0, len(run) - 1, _AT_ONCE):
+            seams = list(zip(run[k : k + _AT_ONCE], run[k + 1 : k + 1 + _AT_ONCE], strict=False))
+            self.know(seams)
+            for seam in seams:
+                total += self.seams[seam]
+        return total
+
+    def gains(self, places: list[tuple[str, str, str]]) -> Iterator[np.ndarray]:
+        """How much likelier each place's stretch is than what it becomes by each chain that can be undone; of chains alike for a stretch one counts."""
+        for k in range(0, len(places), _AT_ONCE):
+            some = [(("\n\n" + before)[-2:], run, after[:2]) for before, run, after in places[k : k + _AT_ONCE]]
+            right = self.model.costs([before + run + after for before, run, after in some])
+            at: dict[str, list[int]] = {}
+            for i, (_, run, _) in enumerate(some):
+                at.setdefault(run, []).append(i)
+            inner = {run: (chains, self.cost(run)[chains]) for run in at if len(chains := self.different(run))}
+            self.know([seam for before, run, after in some for seam in self._outer(before, run, after)])
+            for run, (chains, within) in inner.items():
+                for i in at[run]:
+                    yield sum((self.seams[seam][chains] for seam in self._outer(*some[i])), within) - right[i]
+
+    @staticmethod
+    def _outer(before: str, run: str, after: str) -> list[tuple[str, str]]:
+        return [(before, run[0]), (run[-1], after)] if after else [(before, run[0])]
+
+    @staticmethod
+    def different(run: str) -> np.ndarray:
+        """The chains that can be undone, one for each different text the stretch becomes."""
+        kept, name = np.ones(len(CHAINS), dtype=bool), np.zeros(len(CHAINS), dtype=np.uint64)
+        for c in set(run):
+            kept &= readings(c).kept
+            name += readings(c).name
+        chains = np.flatnonzero(kept)
+        return chains[np.unique(name[chains], return_index=True)[1]]
+
+
+def letters_of(stretches: Iterable[str]) -> frozenset[str]:
+    """The non-ASCII letters of stretches, small and capital."""
+    return frozenset(v for c in set().union(*stretches) if c.isalpha() for v in (c, c.upper(), c.lower()) if len(v) == 1 and ord(v) > 127)
+
+
+def rightly_written(before: str, run: str, letters: frozenset[str]) -> list[tuple[str, str]]:
+    """(before, stretch) that some chain could undo: where a mark follows a letter, any other of the letters of the same case."""
+    out = []
+    for i, (last, c) in enumerate(zip(before[-1:].rjust(1) + run, run, strict=False)):
+        if last.isalpha() and not c.isalpha():
+            for letter in _undoable(c, letters):
+                if letter != last and letter.isupper() == last.isupper():
+                    out.append((before, run[: i - 1] + letter + run[i:]) if i else (before[:-1], letter + run))
+    return out
+
+
+@lru_cache(maxsize=10_000)
+def _undoable(mark: str, letters: frozenset[str]) -> list[str]:
+    return [letter for letter in sorted(letters) if candidates(letter + mark)]
+
+
+def binned(gains: np.ndarray) -> np.ndarray:
+    """How many gains lie above the margin one ``STEP`` below and not above the margin of each bin."""
+    return np.bincount(np.clip(np.ceil(gains / STEP), 0, BINS).astype(np.int64), minlength=BINS + 1)
+
+
+def gains_at(garbler: Garbler, places: list[tuple[str, str, str]], letters: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``binned`` gains of undoing all garbled stretches at places (before, stretch, after), and of the likeliest change of all rightly written ones."""
+    true = np.zeros(BINS + 1, dtype=np.int64)
+    gains = garbler.gains(places)
+    while some := list(islice(gains, _AT_ONCE)):
+        true += binned(np.concatenate(some))
+    model, fits, wrongs = garbler.model, {}, []
+    for before, run, after in places:
+        for left, stretch in rightly_written(before, run, letters):
+            if stretch not in fits:
+                fits[stretch] = fitting(model, stretch)
+            if fits[stretch]:
+                wrongs.append(max(gain(model, left, stretch, c, after) for c in fits[stretch]))
+    return true, binned(np.array(wrongs))
+
+
 class Calibration(NamedTuple):
     """The margin, and what it was found by: stretches tried and the share of garbled ones missed and of clean ones changed."""
 
@@ -230,95 +431,64 @@ class Calibration(NamedTuple):
     changed: float
 
 
-def held_out_stretches(fields: DataFrame, most: int) -> list[tuple[str, str, str]]:
-    """(before, stretch, after) of up to ``most`` different places in clean fields, those whose hash is least."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in chunks(frames, "text"):
-            found = {}
-            for text in frame["text"]:
-                if text and not suspicious(text):
-                    for m in RUN.finditer(text):
-                        found["\x00".join((text[max(0, m.start() - SIDE) : m.start()], m.group(), text[m.end() : m.end() + SIDE]))] = None
-            yield pd.DataFrame({"place": list(found)}, dtype=object)
-
-    odd = fields.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("text")
-    places = odd.mapInPandas(run, "place string").distinct().orderBy(F.xxhash64("place"), "place").limit(most).collect()
-    return [tuple(r.place.split("\x00")) for r in places if r.place.count("\x00") == 2]
-
-
-def garblings(run: str) -> list[str]:
-    """What a stretch becomes when read by every page, by every pair of pages, and by one page three times, as far as that can be undone."""
-    out: dict[str, None] = {}
-    for first in PAGES:
-        once = garble(run, first)
-        if undo(once, first) != run:
-            continue  # the page loses characters of it
-        out[once] = None
-        for second in PAGES:
-            twice = garble(once, second)
-            if undo(twice, second) == once:
-                out[twice] = None
-                thrice = garble(twice, second) if first == second else twice
-                if thrice != twice and undo(thrice, second) == twice:
-                    out[thrice] = None
-    out.pop(run, None)
-    return list(out)
-
-
-def rightly_written(places: list[tuple[str, str, str]], contexts: int = 4) -> list[tuple[str, str, str]]:
-    """Clean stretches that some chain could undo: letters of the places, small and capital, before marks that follow letters there."""
-    around: dict[str, list[tuple[str, str]]] = {}
-    marks: set[str] = set()
-    for before, run, after in places:
-        for last, c in zip(before[-1:].rjust(1) + run, run, strict=False):
-            if c.isalpha():
-                for letter in {c, c.upper(), c.lower()}:
-                    if len(letter) == 1 and ord(letter) > 127:
-                        around.setdefault(letter, []).append((before, after))
-            elif last.isalpha():
-                marks.add(c)
-    return [(before, letter + mark, after) for letter, at in sorted(around.items()) for mark in sorted(marks) if candidates(letter + mark) for before, after in at[:contexts]]
-
-
-def calibrate(model: Model, places: list[tuple[str, str, str]]) -> Calibration:
-    """Set the margin by places (before, stretch, after) of clean text the model has not seen; 3 if there is nothing to go by."""
-    true: list[np.ndarray] = []
-    for run in sorted({r for _, r, _ in places}):
-        bad = garblings(run)
-        at = [(("\n\n" + b)[-SIDE:], a) for b, r, a in places if r == run]
-        if bad:
-            right = model.costs([b + run + a for b, a in at])
-            wrong = model.costs([b + g + a for b, a in at for g in bad]).reshape(len(at), -1)
-            true.append((wrong - right[:, None]).ravel())
-    false = []
-    for before, run, after in rightly_written(places):
-        fit = fitting(model, run)
-        left = ("\n\n" + before)[-SIDE:]
-        if fit:
-            costs = model.costs([left + c + after for c in [run, *fit]])
-            false.append(costs[0] - costs[1:].min())
-    gains, wrongs = np.sort(np.concatenate(true)) if true else np.empty(0), np.sort(np.array(false))
-    if not len(gains):
-        return Calibration(3.0, 0, 0.0, len(wrongs), 0.0)
-    # a margin between two successive gains splits all alike: try each such interval, and of the widest of the best take the
-    # point a quarter of the way up, for the clean stretches made here are harder than those of real text
-    edges = np.unique(np.concatenate(([1.0], gains, wrongs)))
-    edges = edges[edges >= 1.0]
-    middle = np.append(edges[:-1] + (edges[1:] - edges[:-1]) / 4, edges[-1])
-    width = np.append(np.diff(edges), 0.0)
-    missed = np.searchsorted(gains, middle, side="right") / len(gains)
-    changed = 1 - np.searchsorted(wrongs, middle, side="right") / len(wrongs) if len(wrongs) else np.zeros(len(middle))
+def margin_of(true: np.ndarray, false: np.ndarray) -> Calibration:
+    """The margin by ``binned`` gains of garbled and of rightly written stretches; 3 if there is nothing to go by."""
+    garbled, clean = int(true.sum()), int(false.sum())
+    if not garbled:
+        return Calibration(3.0, 0, 0.0, clean, 0.0)
+    # margins without a gain between them split all alike: of the widest of the best such intervals take the point a quarter
+    # of the way up, for the clean stretches made here are harder than those of real text
+    least = int(1 / STEP)
+    missed = np.cumsum(true)[least:BINS] / garbled
+    changed = 1 - np.cumsum(false)[least:BINS] / clean if clean else np.zeros(BINS - least)
     total = np.round(missed + changed, 12)
-    k = max(np.flatnonzero(total == total.min()), key=lambda i: width[i])
-    return Calibration(float(middle[k]), len(gains), float(missed[k]), len(wrongs), float(changed[k]))
+    starts = np.flatnonzero(np.append(True, (true + false)[least + 1 : BINS] > 0))
+    width = np.diff(np.append(starts, len(total)))
+    k = max(np.flatnonzero(total[starts] == total.min()), key=lambda i: width[i])
+    at = starts[k] + (width[k] - 1) // 4
+    return Calibration(float((least + at) * STEP), garbled, float(missed[at]), clean, float(changed[at]))
 
 
-def fitted(fields: DataFrame, most: int = 500) -> tuple[Model, Calibration]:
-    """The model, trained on all clean fields but one in ``HELD_OUT``, and the margin, validated on up to ``most`` places of those."""
-    out = F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0
-    model = train(fields.where(~out))
-    return model, calibrate(model, held_out_stretches(fields.where(out), most))
+def calibrate(model: Model, places: list[tuple[str, str, str]]) -> Calibration:
+    """Set the margin by places (before, stretch, after) of clean text the model has not seen."""
+    return margin_of(*gains_at(Garbler(model), places, letters_of(run for _, run, _ in places)))
+
+
+def cross_fitted(tallied: DataFrame, counts: Counts) -> Calibration:
+    """The margin by all places of all folds, each scored by the counts of the other folds."""
+    spark = tallied.sparkSession
+    letters = frozenset(r.run for r in tallied.where("slot = -2").select("run").distinct().collect())
+    shared = spark.sparkContext.broadcast((counts, letters))
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, letters = shared.value
+        at, garbler = None, None
+        total = np.zeros((2, BINS + 1), dtype=np.int64)
+        for frame in frames:
+            for fold, part in frame.groupby("fold"):
+                if fold != at:
+                    at, garbler = fold, Garbler(counts.model(without=fold))
+                total += gains_at(garbler, list(zip(part["before"], part["run"], part["after"], strict=True)), letters)
+        kind, bin_ = np.nonzero(total)
+        yield pd.DataFrame({"kind": kind, "bin": bin_, "n": total[kind, bin_]})
+
+    # places of one fold and stretch lie together, for they share seams
+    places = tallied.where("slot = -1").select("fold", "run", "after", "before")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-places.count() // PLACES))
+    spread = places.repartitionByRange(tasks, "fold", "run", "after", "before").sortWithinPartitions("fold", "run", "after", "before")
+    rows = spread.mapInPandas(score, "kind int, bin int, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros((2, BINS + 1), dtype=np.int64)
+    total[rows["kind"].to_numpy(), rows["bin"].to_numpy()] = rows["n"].to_numpy()
+    return margin_of(*total)
+
+
+def fitted(fields: DataFrame) -> tuple[Model, Calibration]:
+    """The model, trained on all clean fields, and the margin, validated on all places of them by models that have not seen them."""
+    tallied = materialize(tally(fields), "p7_tally")
+    counts = counts_of(tallied)
+    found = cross_fitted(tallied, counts)
+    discard(tallied)
+    return counts.model(), found
 
 
 def repair(model: Model, margin: float, text: str) -> tuple[str, int, int]:

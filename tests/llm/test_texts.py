@@ -236,6 +236,55 @@ def test_margin_is_validated_on_unseen_text(spark):
     assert nothing.margin == 3.0 and nothing.garbled == 0
 
 
+def garblings(run):
+    """Different texts a stretch becomes by a chain, as far as each step can be undone."""
+    out = set()
+    for chain in encoding.CHAINS:
+        text = run
+        for page in chain:
+            bad = encoding.garble(text, page)
+            text = bad if encoding.undo(bad, page) == text else None
+            if text is None:
+                break
+        out.add(text)
+    return out - {None, run}
+
+
+def test_margin_and_model_cover_every_clean_field(spark):
+    """Model and margin come from all clean fields: each place is garbled and scored by the counts of the other folds."""
+    rng = random.Random(12)
+    words = ["café", "“no”", "naïve", "Łuke", "Âmbarine", "fiancé’s", "€12m", "São", "පෙළ", "it’s", "\x00é\x00", "CAFÉ"]
+    clean = [" ".join(rng.choice(words) + rng.choice(["", "s", " x"]) for _ in range(8)) + f" {i}" for i in range(150)]
+    fields = spark.createDataFrame([(t,) for t in clean + [encoding.garble(t, "cp1252") for t in clean[:9]]], "text string")
+    model, found = encoding.fitted(fields)
+    assert model.whole == sum(len(t) + 2 for t in clean)
+    fold = {r.text: r.fold for r in fields.select("text", F.pmod(F.xxhash64("text"), F.lit(encoding.FOLDS)).alias("fold")).collect()}
+    places = {(fold[t], t[max(0, m.start() - 3) : m.start()], m.group(), t[m.end() : m.end() + 3]) for t in clean for m in encoding.RUN.finditer(t)}
+    counts = encoding.counts_of(encoding.tally(fields))
+    models = [counts.model(without=k) for k in range(encoding.FOLDS)]
+    gains = [encoding.gain(models[k], before, bad, run, after) for k, before, run, after in places for bad in garblings(run)]
+    assert found.garbled == len(gains) and found.missed == pytest.approx(np.mean(np.array(gains) <= found.margin))
+    for k in range(encoding.FOLDS):
+        own = [p[1:] for p in places if p[0] == k]
+        true, _ = encoding.gains_at(encoding.Garbler(models[k]), own, encoding.letters_of(run for _, run, _ in own))
+        slow = encoding.binned(np.array([encoding.gain(models[k], before, bad, run, after) for before, run, after in own for bad in garblings(run)]))
+        assert true.sum() == slow.sum() and np.abs(np.cumsum(true - slow)).max() <= 2  # sums of other order may fall beside the edge of a step
+
+
+def test_rightly_written_stretches_fit_their_place():
+    letters = encoding.letters_of(["é", "Ã", "’"])
+    assert letters == {"é", "É", "ã", "Ã"}
+    assert ("TE", "É’") in encoding.rightly_written("TEN", "’", letters)
+    assert ("te", "É’") not in encoding.rightly_written("ten", "’", letters)
+    assert encoding.rightly_written(" S", "Ã", letters) == []  # no mark follows
+
+
+def test_margin_is_least_of_missed_and_changed():
+    true, false = encoding.binned(np.array([0.5, 9.0, 20.0, 999.0])), encoding.binned(np.array([-3.0, 2.0, 6.0]))
+    found = encoding.margin_of(true, false)
+    assert 6 <= found.margin < 9 and found.missed == 0.25 and found.changed == 0 and found.garbled == 4 and found.clean == 3
+
+
 def test_costs_of_many_texts_at_once():
     rng = np.random.default_rng(1)
     model = encoding.Model(rng.integers(0, 9, encoding.TABLE).astype(float), rng.integers(0, 99, encoding.TABLE).astype(float), rng.integers(0, 999, encoding.CLASSES).astype(float))
