@@ -278,26 +278,33 @@ def _misread(text: str, page: str) -> str | None:
     return None if data.translate(None, kept) else data.decode("latin-1").translate(read)
 
 
+_PREFIXES = sorted({chain[:k] for chain in CHAINS for k in range(1, len(chain) + 1)}, key=len)
+
+
+def texts_of(c: str) -> list[str]:
+    """What a character becomes by every chain; empty if that can't be undone."""
+    read: dict[tuple[str, ...], str | None] = {(): c}
+    for chain in _PREFIXES:
+        before = read[chain[:-1]]
+        read[chain] = None if before is None else _misread(before, chain[-1])
+    return [read[chain] or "" for chain in CHAINS]
+
+
 class Readings(NamedTuple):
-    """What a character becomes by every chain: the texts, the classes of their first and last two characters, a name that equal texts share, and whether they can be undone."""
+    """Of a character's texts by chain: the classes of the first and last two characters, a name that equal texts share, and whether they can be undone."""
 
-    texts: list[str]
     head: np.ndarray
     tail: np.ndarray
     name: np.ndarray
     kept: np.ndarray
 
 
-@lru_cache(maxsize=1000)
+@lru_cache(maxsize=20_000)
 def readings(c: str) -> Readings:
-    read: dict[tuple[str, ...], str | None] = {(): c}
-    for chain in sorted({chain[:k] for chain in CHAINS for k in range(1, len(chain) + 1)}, key=len):
-        before = read[chain[:-1]]
-        read[chain] = None if before is None else _misread(before, chain[-1])
-    texts = [read[chain] or "" for chain in CHAINS]
-    ends = np.array([classes_of(t[:2] + t[-2:]) if t else [0] * 4 for t in texts], dtype=np.int64)
+    texts = texts_of(c)
+    ends = classes_of("".join(t[:2] + t[-2:] if t else "    " for t in texts)).astype(np.int16).reshape(-1, 4)
     name = pd.util.hash_array(np.array([c + t for t in texts], dtype=object), categorize=False)
-    return Readings(texts, ends[:, :2], ends[:, 2:], name, np.array([t != "" for t in texts]))
+    return Readings(ends[:, :2], ends[:, 2:], name, np.array([t != "" for t in texts]))
 
 
 class Garbler:
@@ -341,7 +348,7 @@ class Garbler:
             if c not in self.within:
                 if len(self.within) >= SEAMS:
                     self.within.clear()
-                self.within[c] = self.model.costs(readings(c).texts)
+                self.within[c] = self.model.costs(texts_of(c))
             total += self.within[c]
         for k in range(0, len(run) - 1, _AT_ONCE):
             seams = list(zip(run[k : k + _AT_ONCE], run[k + 1 : k + 1 + _AT_ONCE], strict=False))
