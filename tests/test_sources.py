@@ -44,3 +44,12 @@ def test_html(spark):
     page = '<div><a href="/1"><h3 class="cat_title big">One &amp; only</h3><p class="text-dark">Body</p><h4 class="text-secondary">01 Apr 2026</h4></a><a href="/2"><h3 class="cat_title">Two</h3></a><h3 class="cat_title">None</h3></div>'
     rows = parse_listings(spark.createDataFrame([(page,), (None,), ("",)], "html string")).collect()
     assert [tuple(r) for r in rows] == [("One & only", "Body", "01 Apr 2026", "/1"), ("Two", "N/A", "N/A", "/2")]
+
+
+def test_html_with_unknown_sections(spark):
+    assert visible_text("a <![|;@[j b").split() == ["a", "<", "![|;@[j", "b"]  # never closed: text
+    assert visible_text("<p>a<![|;@[j>b<![foo[x]]>c</p>").split() == ["a", "b", "c"]
+    assert visible_text("a<![CDATA[x]]>b<![if word]>c<![endif]>").split() == ["a", "b", "c"]
+    df = spark.createDataFrame([(1, "<b>x</b> <![|;@[j"), (2, "plain")], "id long, content string")
+    assert {r.id: r.content.split() for r in strip_html(df, "content").collect()} == {1: ["x", "<", "![|;@[j"], 2: ["plain"]}
+    assert [r.title for r in parse_listings(spark.createDataFrame([('<![?[><a href="u"><h3 class="cat_title">T</h3></a>',)], "html string")).collect()] == ["T"]
