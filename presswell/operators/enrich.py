@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ from presswell.functions.text import strip, tokens
 from presswell.operators.lookup import looked_up
 from presswell.session import materialize
 
+#: Document frequencies of at most so many keywords are sent to the tasks.
+MOST_PACKED = 4_000_000
+
 
 def lexicon_sentiment(text: Column, positive=POSITIVE, negative=NEGATIVE) -> tuple[Column, Column]:
     """(label, score) by the balance of positive and negative words; blank text is neutral with 0."""
@@ -69,21 +75,76 @@ def ngrams(text: Column, stopwords=STOPWORDS) -> Column:
     return F.concat(words, pairs)
 
 
-def keyword_scores(articles: DataFrame, stopwords=STOPWORDS) -> DataFrame:
+def packed_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in ascending order, their counts) of ``counts`` (h, df) as two arrays, 12 bytes a row."""
+    rows = counts.select("h", F.col("df").cast("int").alias("df")).toArrow()
+    hashes, found = rows["h"].to_numpy(), rows["df"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], found[order]
+
+
+def _first_of_each(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def keyword_scores(articles: DataFrame, stopwords=STOPWORDS, most: int | None = None, most_packed: int = MOST_PACKED) -> DataFrame:
     """(article_id, keyword, score): TF-IDF of words and pairs over all articles; ``articles`` has each article once.
 
-    Texts are spread by id before they are split, and stay so: term counts and ranks per
-    article need no further shuffle. Only keywords of two articles or more
-    are looked up; the many others have a document frequency of 1.
+    With ``most``, at least the rows that ``top_keywords`` of so many can
+    give. Document frequencies are counted by 64-bit hashes; only those of
+    keywords of two articles or more are kept, the many others have a
+    frequency of 1. Up to ``most_packed`` of them are sent packed to the
+    tasks, where each article's terms are counted and looked up without any
+    shuffle; more are joined.
     """
-    placed = articles.select("article_id", "content_clean").repartition("article_id").select("article_id", ngrams(F.col("content_clean"), stopwords).alias("terms"))
-    df = placed.select(F.explode(F.array_distinct("terms")).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("df"))
+    placed = articles.select("article_id", ngrams(F.col("content_clean"), stopwords).alias("terms"))
+    placed = placed.select("article_id", "terms", F.transform("terms", lambda x: F.xxhash64(x)).alias("h"))
+    df = placed.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count("*").alias("df"))
     df = materialize(df.where("df > 1"), "frequencies")
-    tf = placed.select("article_id", F.explode("terms").alias("keyword")).groupBy("article_id", "keyword").agg(F.count("*").alias("tf"))
-    n = F.lit(articles.count())
-    known = F.coalesce("df", F.lit(1).cast("long"))
-    weighted = looked_up(tf, df, ["keyword"], "left")
-    return weighted.select("article_id", "keyword", (F.col("tf") * (F.log((1 + n) / (1 + known)) + 1)).alias("score"))
+    n = articles.count()
+    if df.count() > most_packed:
+        tf = placed.select("article_id", F.explode("terms").alias("keyword")).groupBy("article_id", "keyword").agg(F.count("*").alias("tf"))
+        weighted = looked_up(tf.withColumn("h", F.xxhash64("keyword")), df, ["h"], "left")
+    else:
+        known = articles.sparkSession.sparkContext.broadcast(packed_counts(df))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, counts = known.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    terms, sizes = part.column(1).flatten(), part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                    h, doc = part.column(2).flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+                    order = np.lexsort((h, doc))
+                    new = _first_of_each(doc[order], h[order])
+                    tf, at = np.diff(new, append=len(h)), order[new]
+                    doc, h = doc[at], h[at]
+                    found = np.ones(len(h), np.int64)
+                    if len(keys):
+                        spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                        found = np.where(keys[spot] == h, counts[spot], 1).astype(np.int64)
+                    if most and len(h):
+                        # no score below the article's most-th can be taken, and of equal ones only the first by keyword
+                        score = tf * (np.log((1 + n) / (1 + found)) + 1)
+                        down = np.lexsort((-score, doc))
+                        begin = _first_of_each(doc[down])
+                        last = score[down][np.minimum(begin + most, np.append(begin[1:], len(h))) - 1]
+                        kept = np.flatnonzero(score >= np.repeat(last, np.diff(begin, append=len(h))) - 1e-8)
+                        place = np.empty(len(kept), np.int64)
+                        place[pc.array_sort_indices(terms.take(pa.array(at[kept]))).to_numpy()] = np.arange(len(kept))
+                        order = np.lexsort((place, found[kept], tf[kept], doc[kept]))
+                        kept = kept[order]
+                        same = _first_of_each(doc[kept], tf[kept], found[kept])
+                        kept = kept[np.arange(len(kept)) - np.repeat(same, np.diff(same, append=len(kept))) < most]
+                        doc, tf, found, at = doc[kept], tf[kept], found[kept], at[kept]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), terms.take(pa.array(at)), pa.array(tf, pa.int64()), pa.array(found)], ["article_id", "keyword", "tf", "df"])
+
+        weighted = placed.mapInArrow(run, "article_id long, keyword string, tf long, df long")
+    frequency = F.coalesce("df", F.lit(1).cast("long"))
+    return weighted.select("article_id", "keyword", (F.col("tf") * (F.log((1 + F.lit(n)) / (1 + frequency)) + 1)).alias("score"))
 
 
 def top_keywords(scores: DataFrame, n: int = 10) -> DataFrame:

@@ -96,7 +96,7 @@ def process_new(new: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFr
 def enrich(processed: DataFrame, sentiment: DataFrame, keywords: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables of enrichments with rows for the COMPLETED articles that lack them."""
     s = upsert(sentiment, score_sentiment(needing(processed, sentiment)), ["article_id"])
-    k = top_keywords(keyword_scores(needing(processed, keywords))).select("article_id", "keyword", "score", "rank")
+    k = top_keywords(keyword_scores(needing(processed, keywords), most=10)).select("article_id", "keyword", "score", "rank")
     e = count_entities(pattern_mentions(needing(processed, entities)))
     return s, upsert(keywords, k, ["article_id", "rank"]), upsert(entities, e, ["article_id", "entity", "entity_type"])
 

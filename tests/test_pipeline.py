@@ -2,6 +2,7 @@ import json
 import time
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,3 +234,17 @@ def test_full_evaluation(spark):
     forest = got["random_forest", 1]
     assert (forest.tp, forest.fn) == (5, 0) and forest.recall == 1.0 and got["random_forest", None].tp is None and got["random_forest", None].recall == 1.0
     assert {(r.event_id, r.first_detection_week) for r in leads.collect()} == {(1, "2025-W16"), (2, "2025-W41"), (3, None)}
+
+
+def test_keyword_frequencies_are_sent_packed(spark):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 60) % 500)) for i in range(700)] + [(700, None), (701, "")], "article_id long, content_clean string")
+    packed, joined = enrich.keyword_scores(docs), enrich.keyword_scores(docs, most_packed=-1)
+    assert "Broadcast" not in packed._jdf.queryExecution().executedPlan().toString()
+    rows = lambda s: sorted((r.article_id, r.keyword, round(r.score, 9)) for r in s.collect())
+    assert rows(packed) == rows(joined)
+    for n in (1, 10):
+        fewer = enrich.keyword_scores(docs, most=n)
+        assert fewer.count() < packed.count()
+        ranked = lambda s: sorted((r.article_id, r.keyword, r["rank"]) for r in enrich.top_keywords(s, n).collect())  # noqa: B023, E731
+        assert ranked(fewer) == ranked(joined)
