@@ -160,23 +160,28 @@ def diverse_keywords(scores: DataFrame, n: int = 10, pool: int = 30, diversity:
     trigrams in common.
     """
 
-    def grams(text: str) -> set[str]:
-        padded = f"  {text} "
-        return {padded[i : i + 3] for i in range(len(padded) - 2)}
+    def pick(found) -> Iterator[tuple[str, float]]:
+        bit: dict[str, int] = {}
+        words, weights, grams = [x["keyword"] for x in found], [float(x["score"]) for x in found], []
+        for word in words:
+            padded, mask = f"  {word} ", 0
+            for i in range(len(padded) - 2):
+                mask |= 1 << bit.setdefault(padded[i : i + 3], len(bit))
+            grams.append(mask)
+        top = max(weights, default=1.0) or 1.0
+        like, left = [0.0] * len(words), list(range(len(words)))  # like: the greatest likeness to those chosen
+        for _ in range(min(n, len(words))):
+            best = max(left, key=lambda k: ((1 - diversity) * weights[k] / top - diversity * like[k], weights[k], words[k]))
+            left.remove(best)
+            yield words[best], weights[best]
+            for k in left:
+                common = (grams[k] & grams[best]).bit_count()
+                if common:
+                    like[k] = max(like[k], common / (grams[k] | grams[best]).bit_count())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for article, found in zip(frame["article_id"], frame["pool"], strict=True):
-                left = [(float(x["score"]), x["keyword"], grams(x["keyword"])) for x in found]
-                top = max((s for s, *_ in left), default=1.0) or 1.0
-                chosen: list[set[str]] = []
-                while left and len(chosen) < n:
-                    like = lambda g: max((len(g & c) / len(g | c) for c in chosen), default=0.0)  # noqa: B023, E731
-                    best = max(left, key=lambda x: ((1 - diversity) * x[0] / top - diversity * like(x[2]), x[0], x[1]))
-                    left.remove(best)
-                    chosen.append(best[2])
-                    rows.append((article, best[1], best[0], len(chosen)))
+            rows = [(article, *x, k) for article, found in zip(frame["article_id"], frame["pool"], strict=True) for k, x in enumerate(pick(found), 1)]
             yield pd.DataFrame(rows, columns=["article_id", "keyword", "score", "rank"])
 
     best = top_keywords(scores, pool).groupBy("article_id").agg(F.sort_array(F.collect_list(F.struct("rank", "keyword", "score"))).alias("pool"))
