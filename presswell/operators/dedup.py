@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from presswell.functions.text import content_hash, tokens
 from presswell.operators.lookup import looked_up
 from presswell.session import discard, materialize
 
+#: A day of at most so many texts is compared in one task.
+MOST_DAY_TEXTS = 4096
+
 
 def mark_first_seen(rows: DataFrame, column: str) -> DataFrame:
     """Rows that are still UNIQUE and share ``column`` with one of a smaller id become EXACT_DUPLICATE of the least such id.
@@ -59,9 +64,61 @@ def day_term_weights(texts: DataFrame, stopwords: list[str] = STOPWORDS, most: i
     return raw.join(norm, ["day", "doc"]).select("day", "doc", "term", "idf", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def near_pairs(texts: DataFrame, threshold: float = NEAR_DUPLICATE_COSINE, stopwords: list[str] = STOPWORDS, most: int = MAX_DAY_TERMS) -> DataFrame:
+def _pairs_of_day(docs: np.ndarray, words: list[list[str]], threshold: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) of one day's texts, given as lists of their terms."""
+    turn = np.argsort(docs, kind="stable")
+    docs, words = docs[turn], [words[i] for i in turn]
+    number: dict[str, int] = {}
+    term = np.fromiter((number.setdefault(x, len(number)) for ws in words for x in ws), np.int64)
+    doc = np.repeat(np.arange(len(docs)), [len(ws) for ws in words])
+    place = np.empty(len(number), np.int64)  # of each term in order of frequency, ties by term
+    n = np.bincount(term, minlength=len(number)).tolist()
+    place[[number[x] for x in sorted(number, key=lambda x: (-n[number[x]], x))]] = np.arange(len(number))
+    cells, tf = np.unique(doc * max(1, len(number)) + place[term], return_counts=True)
+    doc, term = np.divmod(cells, max(1, len(number)))
+    doc, term, tf = (x[term < most] for x in (doc, term, tf))
+    df = np.bincount(term)
+    w = tf * (np.log((1 + len(docs)) / (1 + df[term])) + 1)
+    w = w / np.sqrt(np.bincount(doc, w * w, len(docs)))[doc]
+    table = np.zeros((len(docs), len(df)))
+    table[doc, term] = w
+    rough, found = table.astype(np.float32), []  # in single precision first, with room for its errors
+    for at in range(0, len(docs), 512):
+        x, y = np.nonzero(rough[at : at + 512] @ rough[at:].T >= threshold - 1e-4)
+        found.append(np.stack([x, y])[:, x < y] + at)
+    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    cuts = range(0, len(a), 512)
+    similarity = np.concatenate([np.einsum("ij,ij->i", table[a[k : k + 512]], table[b[k : k + 512]]) for k in cuts]) if len(a) else np.zeros(0)
+    kept = similarity >= threshold - 1e-12
+    return docs[a[kept]], docs[b[kept]], similarity[kept]
+
+
+def near_pairs(texts: DataFrame, threshold: float = NEAR_DUPLICATE_COSINE, stopwords: list[str] = STOPWORDS, most: int = MAX_DAY_TERMS, most_texts: int = MOST_DAY_TEXTS) -> DataFrame:
     """(day, a, b, similarity) of same-day texts a < b with cosine >= threshold.
 
+    Texts are shuffled once, by day. A day of up to ``most_texts`` texts is
+    compared in one task, as one table of texts by terms; days of more are
+    joined by terms, so they are never gathered.
+    """
+    dated = texts.where("day is not null")
+    large = materialize(dated.groupBy("day").agg(F.count("*").alias("docs")).where(F.col("docs") > most_texts).select("day"), "large")
+    crowded = not large.isEmpty()
+    usual = dated.join(F.broadcast(large), "day", "left_anti") if crowded else dated
+    words = F.filter(tokens(F.col("text")), lambda x: ~x.isin(list(stopwords)))
+    # split after the shuffle, so only texts are moved
+    usual = usual.select("day", "doc", "text").repartition("day").select("day", "doc", F.concat_ws(" ", words).alias("words"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b, similarity = _pairs_of_day(frame["doc"].to_numpy(), [x.split(" ") if x else [] for x in frame["words"]], threshold, most)
+        return pd.DataFrame({"day": frame["day"].iloc[0], "a": a, "b": b, "similarity": similarity})
+
+    pairs = usual.groupBy("day").applyInPandas(run, "day date, a long, b long, similarity double")
+    return pairs.unionByName(_joined_pairs(dated.join(F.broadcast(large), "day", "left_semi"), threshold, stopwords, most)) if crowded else pairs
+
+
+def _joined_pairs(texts: DataFrame, threshold: float, stopwords: list[str], most: int) -> DataFrame:
+    """``near_pairs`` by joins.
+
     Terms are ordered rare first. The last terms of a text whose joint norm is
     below the threshold can't make up a pair alone, so a pair shares one of
     the terms before them; only these meet in the join, and the full product

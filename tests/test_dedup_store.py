@@ -170,3 +170,18 @@ def test_hot_values_are_marked(spark):
     rows = [(i, f"text {i}", "same link" if i else None, None) for i in range(40)]
     got = status(spark, rows)
     assert got[0] == ("UNIQUE", None) and got[1] == ("UNIQUE", None) and all(got[i] == ("EXACT_DUPLICATE", 1) for i in range(2, 40))
+
+
+def test_near_pairs_of_usual_and_crowded_days(spark):
+    rng = np.random.default_rng(8)
+    words, rows = [f"word{i}" for i in range(90)], []
+    for i in range(150):
+        base = [str(w) for w in rng.choice(words, 20)] if i % 4 == 0 else [w if rng.random() > 0.06 else str(rng.choice(words)) for w in rows[-1][2].split()]
+        rows.append((149 - i, DAY if i % 3 else OTHER, " ".join(base)))
+    texts = spark.createDataFrame([*rows, (200, DAY, ""), (201, DAY, None), (202, None, rows[0][2])], "doc long, day date, text string")
+    found = lambda **o: {(r.day, r.a, r.b): round(r.similarity, 6) for r in near_pairs(texts, **o).collect()}
+    for most in (2000, 40):
+        joined = found(most=most, most_texts=0)
+        assert joined and joined == found(most=most) == found(most=most, most_texts=80)
+    plan = near_pairs(texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # the texts are moved once
