@@ -88,10 +88,19 @@ def topic_words(docs: DataFrame, n: int = 10) -> DataFrame:
     return scored.select("topic_id", "word", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def default_names(words: DataFrame) -> DataFrame:
-    """(topic_id, topic_name) from the first words of each topic."""
+def default_names(words: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+    """(topic_id, topic_name) from the words of each topic.
+
+    ``known`` has names and a word that stands for each: a topic takes the
+    name whose word comes first among its words, else its own first words.
+    """
     listed = words.groupBy("topic_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("w"))
-    return listed.select("topic_id", topic_name(F.col("topic_id"), F.col("w")).alias("topic_name"))
+    name = topic_name(F.col("topic_id"), F.col("w"))
+    if known:
+        places = F.array(*(F.struct(F.array_position("w", F.lit(word)).alias("at"), F.lit(n).alias("name")) for n, word in known.items()))
+        first = F.array_min(F.filter(places, lambda x: x["at"] > 0))["name"]
+        name = F.when(F.col("topic_id") == -1, name).otherwise(F.coalesce(first, name))
+    return listed.select("topic_id", name.alias("topic_name"))
 
 
 def rename_topics(rows: DataFrame, names: DataFrame) -> DataFrame:

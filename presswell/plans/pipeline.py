@@ -101,19 +101,19 @@ def enrich(processed: DataFrame, sentiment: DataFrame, keywords: DataFrame, enti
     return s, upsert(keywords, k, ["article_id", "rank"]), upsert(entities, e, ["article_id", "entity", "entity_type"])
 
 
-def topic_stage(processed: DataFrame, model: BatchModel | None = None, table: VersionedTable | None = None, **options) -> tuple[DataFrame, DataFrame]:
+def topic_stage(processed: DataFrame, model: BatchModel | None = None, table: VersionedTable | None = None, known: dict[str, str] | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(article_id, topic_id, topic_name, topic_probability) of all COMPLETED articles, and (topic_id, word, score, rank).
 
     The whole corpus is embedded and fitted anew, so with ``table`` all its
     rows are replaced at once: topics of different fits never mix. ``model``
-    embeds texts (``hashed_vectors`` by default); ``options`` are those of
-    ``fit_topics``. Articles without words have no topic.
+    embeds texts (``hashed_vectors`` by default); ``known`` is that of
+    ``default_names``, ``options`` are those of ``fit_topics``. Articles without words have no topic.
     """
     corpus = processed.where("processing_status = 'COMPLETED'").select(F.col("article_id").alias("doc"), topic_text("title_clean", "content_clean").alias("text"))
     vectors = materialize(embedded(corpus, model or hashed_vectors()), "vectors")
     assigned = materialize(fit_topics(vectors.select("doc", "vector"), **options), "topics")
     words = materialize(topic_words(vectors.select("doc", "text").join(assigned, "doc").select("topic_id", "text")), "words")
-    rows = assigned.join(F.broadcast(default_names(words)), "topic_id", "left")  # a row per topic
+    rows = assigned.join(F.broadcast(default_names(words, known)), "topic_id", "left")  # a row per topic
     rows = rows.select(F.col("doc").alias("article_id"), "topic_id", F.coalesce("topic_name", topic_name(F.col("topic_id"), F.array().cast("array<string>"))).alias("topic_name"), "topic_probability")
     if table is not None:
         table.replace(rows)

@@ -248,3 +248,13 @@ def test_keyword_frequencies_are_sent_packed(spark):
         assert fewer.count() < packed.count()
         ranked = lambda s: sorted((r.article_id, r.keyword, r["rank"]) for r in enrich.top_keywords(s, n).collect())  # noqa: B023, E731
         assert ranked(fewer) == ranked(joined)
+
+
+def test_named_topics_reach_the_panel(spark):
+    from presswell.operators.weekly import base_metrics
+
+    words = spark.createDataFrame([(0, "port", 1), (0, "fuel", 2), (0, "rice", 3), (1, "cup", 1), (1, "final", 2), (-1, "fuel", 1)], "topic_id int, word string, rank int")
+    names = topics.default_names(words, {"Consumer Prices & Food (Rice/CAA)": "rice", "Fuel & Oil Prices (CPC)": "fuel"})
+    assert {r.topic_id: r.topic_name for r in names.collect()} == {0: "Fuel & Oil Prices (CPC)", 1: "cup_final", -1: "outlier_uncategorized"}
+    articles = names.selectExpr("topic_id as article_id", "'2026-W10' as publication_week", "'neutral' as sentiment", "0D as sentiment_score", "topic_name")
+    assert base_metrics(articles).first().fuel_topic_frequency == 1
